@@ -9,8 +9,10 @@ ranges of doc_id and each begins a sequence of its own, the last one padded unde
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from contextlib import contextmanager
 
 import numpy as np
@@ -21,51 +23,85 @@ from pyspark.sql import functions as F
 from .common import cut, slices
 
 #: Tokens in a sequence, sequences in a record batch, text bytes that a shard aims at, shards at most.
-LENGTH, BATCH, SHARD_BYTES, SHARDS = 2048, 64, 64 << 20, 1000
+LENGTH, BATCH, SHARD_BYTES, SHARDS = 2048, 64, 16 << 20, 1000
 #: Percentiles of doc_id from which the bounds of shards are taken.
 GRID = 1000
 #: Words whose ids a worker keeps before it starts anew.
-CACHE = 400_000
+CACHE = 800_000
 
 
-class Encoder:
+class Encoder(dict):
     """Ids by a `tokenizers` file, by way of the pieces between spaces and line feeds.
 
     For tokenizers whose pre-tokens hold no white space, encoding these pieces separately equals encoding the whole
-    text; `check_separable` refuses any other file. Each piece goes through the library once per worker cache.
+    text. Each piece goes through the library once per cache: common lower-case words straight to its BPE model,
+    all others through the whole tokenizer. What the short ways rely on is tried on the file itself by `suits`.
     """
 
+    #: Words that are one pre-token and that normalisation leaves alone: ASCII and Latin-1 small letters.
+    WORD = re.compile("[a-zß-öø-ÿ]+")
+
     def __init__(self, file: str, kind: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(file)
-        self.kind, self.cache = kind, {}
-
-    @staticmethod
-    def check_separable(file: str) -> int:
-        """Raises unless white space ends pre-tokens and leaves no ids; returns the number of ids."""
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_str(file)
-        ids = lambda s: t.encode(s, add_special_tokens=False).ids
+        self.model, self.code = self.tokenizer.model, {2: "H", 4: "I"}[kind.itemsize]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    @classmethod
+    def of(cls, file: str, kind: np.dtype) -> Encoder:
+        """The process's encoder for a file; its cache serves one task after another."""
+        key = (zlib.crc32(file.encode()), kind.str)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = cls(file, kind)
+        return _ENCODERS[key]
+
+    def suits(self) -> int:
+        """Raises unless white space ends pre-tokens, case of A-Z is ignored and words go to the model as they are; returns the number of ids."""
+        whole = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        words = [chr(97 + i % 26) * (1 + i % 5) + chr(97 + i * 7 % 26) + "theandßàéñü"[i % 11 :] for i in range(200)]
+        ok = all(self.model_ids(w) == whole(w) == whole(w.upper() if w.isascii() else w) and whole(w + ",") == whole(w) + whole(",") and whole(w + ".") == whole(w) + whole(".") for w in words)
         for a, b in (("one", "two"), ("don't", "'s 5"), ("x1", "%%"), ("a.", "é")):
-            for space in (" ", "\n", "  \n "):
-                if ids(a + space + b) != ids(a) + ids(b):
-                    raise ValueError("this tokenizer's ids depend on white space; its texts can't be encoded piecewise")
-        return t.get_vocab_size(with_added_tokens=True)
+            ok = ok and all(whole(a + space + b) == whole(a) + whole(b) for space in (" ", "\n", "  \n "))
+        if not ok:
+            raise ValueError("this tokenizer's ids depend on white space or letter case; its texts can't be encoded piecewise")
+        return self.tokenizer.get_vocab_size(with_added_tokens=True)
+
+    def model_ids(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+
+    def __missing__(self, piece: bytes) -> bytes:
+        word = piece.decode("utf-8", "surrogatepass")
+        if self.WORD.fullmatch(word):
+            ids = self.model_ids(word)
+        elif word[-1:] in (",", ".") and self.WORD.fullmatch(word, 0, len(word) - 1):
+            self[piece] = value = self[piece[:-1]] + self[piece[-1:]]
+            return value
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[piece] = value = array(self.code, ids).tobytes()
+        return value
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        found = [t.replace("\n", " ").split(" ") for t in texts]
-        new = [w for w in set().union(*found) if w not in self.cache]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(x.ids, dtype=self.kind).tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in found]
+        """Ids of each text as integers of the kind, little-endian."""
+        if len(self) > CACHE:
+            self.clear()
+        out, get = [], self.__getitem__
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            low = raw.lower()
+            # special tokens heed the case; a capital may not compose with a combining mark (lead bytes CC, CD) where the small letter does
+            if b"\xcc" in raw or b"\xcd" in raw or any(s in low for s in self.special):
+                low = raw
+            out.append(b"".join(map(get, low.replace(b"\n", b" ").split(b" "))))
+        return out
+
+
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
 def _place(uri: str):
@@ -154,7 +190,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         file = f.read()
-    kind = np.dtype("<u2" if max(Encoder.check_separable(file), end_id + 1) <= 1 << 16 else "<u4")
+    kind = np.dtype("<u2" if max(Encoder(file, np.dtype("<u4")).suits(), end_id + 1) <= 1 << 16 else "<u4")
     seen = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.percentile_approx("doc_id", [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("p")).first()
     n = min(SHARDS, max(1, -(-(seen["b"] or 0) // SHARD_BYTES)))
     grid = seen["p"] or [0]
@@ -162,7 +198,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     n = len(bounds) + 1
 
     def encoded(batches):
-        encoder, end = Encoder(file, kind), np.array([end_id], dtype=kind).tobytes()
+        encoder, end = Encoder.of(file, kind), np.array([end_id], dtype=kind).tobytes()
         for ids, texts in slices(batches, ("doc_id", "_text"), "_text"):
             coded = [x + end for x in encoder.encode([t or "" for t in texts])]
             shard = [0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in ids]
