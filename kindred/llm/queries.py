@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, secrets, token_files, url_filter
+from . import byte_bpe, decontamination, near_duplicates, secrets, token_files, url_filter
 from .common import shared_dir
 
 
@@ -30,6 +30,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.code_documents(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256")
@@ -47,10 +51,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_secrets": op4_secrets,
     "op6_url_filter": op6_url_filter,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
     "op4_secrets": secrets.oracle(),
     "op6_url_filter": url_filter.oracle(),
+    "op8_near_duplicates": near_duplicates.oracle(),
 }
