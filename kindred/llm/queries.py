@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, near_duplicates, secrets, token_files, url_filter
+from . import byte_bpe, decontamination, embedding_links, near_duplicates, secrets, token_files, url_filter
 from .common import shared_dir
 
 
@@ -30,6 +30,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
 
 
+def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.embedding_links(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op4_secrets": op4_secrets,
     "op6_url_filter": op6_url_filter,
+    "op7_embedding_links": op7_embedding_links,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_token_files": op10_token_files,
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_secrets": secrets.oracle(),
     "op6_url_filter": url_filter.oracle(),
+    "op7_embedding_links": embedding_links.oracle(),
     "op8_near_duplicates": near_duplicates.oracle(),
 }
