@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 #: Byte b is the character U+0100 + b: letters that no normaliser touches.
 SHIFT = 0x100
@@ -140,4 +140,4 @@ def code_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[s
         for batch in batches:
             yield from coded(batch)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

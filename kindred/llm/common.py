@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,21 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")
 
 
+def lean(run):
+    """A function for mapInArrow that gives freed memory back when it ends; workers are reused and would keep it."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(ctypes.CDLL(None), "malloc_trim"):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied when it holds `most` words, so its memory is bounded."""
 

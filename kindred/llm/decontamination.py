@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 #: Length of q-grams, edits allowed as a share of an item's characters.
 Q, RATE = 8, 0.1
@@ -199,7 +199,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: s
     source = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
     out = None
     for block in _blocks(benchmark, item, item_text, block_chars):
-        made = source.mapInArrow(_searcher(block, rate, key), schema)
+        made = source.mapInArrow(lean(_searcher(block, rate, key)), schema)
         out = made if out is None else out.unionByName(made)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 

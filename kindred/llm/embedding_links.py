@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, lean
 from .near_duplicates import grouped
 
 #: Pivots at least and at most (between, the root of the number of vectors), pivots that describe a vector, pivots a candidate pair shares.
@@ -66,7 +66,7 @@ def _described(classes: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * k, pa.int32()), pa.array(order.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), part.column("v"), lists], names=["rep", "n", "v", "pivots"])
 
-    return classes.select("rep", "n", "v").mapInArrow(run, f"rep long, n long, v {dict(classes.dtypes)['v']}, pivots array<int>")
+    return classes.select("rep", "n", "v").mapInArrow(lean(run), f"rep long, n long, v {dict(classes.dtypes)['v']}, pivots array<int>")
 
 
 def _search(dim: int, pivots: int, least: float):
@@ -143,7 +143,7 @@ def _links(classes: DataFrame, dim: int, least: float) -> DataFrame:
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lists = lists.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     lists = lists.select(F.xxhash64("pivot", "low", "high").alias("list"), "pivot", "low", "high", "block", "rep", "n", "v", "pivots")
-    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(_search(dim, len(pivots), least), "a long, b long, n long")
+    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(lean(_search(dim, len(pivots), least)), "a long, b long, n long")
 
 
 def embedding_links(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:

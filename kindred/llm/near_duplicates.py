@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, mix, ngram_hashes, only_ids, slices, word_hashes
+from .common import WordHashes, connected_components, cut, lean, mix, ngram_hashes, only_ids, slices, word_hashes
 
 WORDS, TREES, LEVELS = 5, 16, 3
 #: Classes in a node that are compared exhaustively; above it the node splits further.
@@ -71,7 +71,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             )
 
     source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    return source.mapInArrow(run, "_id long, n_shingles long, print binary, sig binary")
+    return source.mapInArrow(lean(run), "_id long, n_shingles long, print binary, sig binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -100,7 +100,7 @@ def leaves(classes: DataFrame) -> DataFrame:
 
     own is the leaf, node the leaf or, where it is still too large, one of its pairs of blocks.
     """
-    keys = classes.select("rep", "sig").mapInArrow(_branches, "rep long, tree int, " + ", ".join(f"k{i + 1} long" for i in range(LEVELS)))
+    keys = classes.select("rep", "sig").mapInArrow(lean(_branches), "rep long, tree int, " + ", ".join(f"k{i + 1} long" for i in range(LEVELS)))
     out, rest = None, keys
     for level in range(1, LEVELS + 1):
         k = f"k{level}"
@@ -230,7 +230,7 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     lists = found.select("rep", "tree", "own").distinct().groupBy("rep").agg(F.collect_list(F.struct("tree", "own")).alias("leaves"))
     rows = found.select("rep", "tree", "node").join(lists, "rep").join(classes.select("rep", "n_shingles", "sig"), "rep")
     rows = rows.select("rep", "tree", "node", "n_shingles", "sig", "leaves").repartition("node").sortWithinPartitions("node")
-    chosen = cut(rows.mapInArrow(_select, LEAF))
+    chosen = cut(rows.mapInArrow(lean(_select), LEAF))
     wanted = cut(chosen.select(F.col("rep").alias("_id")).distinct())
 
     def sets(batches):
@@ -238,9 +238,9 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_hashes(w).tobytes() for w in words], pa.binary())], names=["rep", "set"])
 
     source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    full = only_ids(source, wanted, "_id").mapInArrow(sets, "rep long, set binary")
+    full = only_ids(source, wanted, "_id").mapInArrow(lean(sets), "rep long, set binary")
     rows = chosen.join(full.hint("merge"), "rep").select("rep", "tree", "node", "n_shingles", "sig", "leaves", "set").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(_confirm, "a long, b long")
+    return rows.mapInArrow(lean(_confirm), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

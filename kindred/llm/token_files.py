@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, lean, slices
 
 #: Tokens in a sequence, sequences in a record batch, text bytes that a shard aims at, shards at most.
 LENGTH, BATCH, SHARD_BYTES, SHARDS = 2048, 64, 16 << 20, 1000
@@ -216,9 +216,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "name", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(encoded, "shard int, doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(lean(encoded), "shard int, doc_id long, ids binary")
     ordered = rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return cut(ordered.mapInArrow(written, "shard int, name string, n_docs long, n_tokens long"))
+    return cut(ordered.mapInArrow(lean(written), "shard int, name string, n_docs long, n_tokens long"))
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -247,4 +247,4 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(rows or [("", 0)], "name string, first long").where("name <> ''")
-    return shards.repartition(max(1, len(rows))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, len(rows))).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
