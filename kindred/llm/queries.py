@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, embedding_links, near_duplicates, secrets, token_files, url_filter
+from . import byte_bpe, decontamination, embedding_links, near_duplicates, pii, quality, secrets, token_files, url_filter
 from .common import shared_dir
 
 
@@ -22,10 +22,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: The key of the queries' surrogates; a production run passes its own secret.
+SECRET = "kindred"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), SECRET)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.labelled_urls(spark))
 
@@ -53,7 +65,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_pii": op2_pii,
     "op4_secrets": op4_secrets,
+    "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_embedding_links": op7_embedding_links,
     "op8_near_duplicates": op8_near_duplicates,
