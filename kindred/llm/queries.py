@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, embedding_links, near_duplicates, pii, quality, secrets, token_files, url_filter
+from . import byte_bpe, decontamination, embedding_links, lm_score, near_duplicates, pii, quality, secrets, token_files, url_filter
 from .common import shared_dir
 
 
@@ -30,6 +30,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), SECRET)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
+    "op3_lm_score": op3_lm_score,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 ORACLES: dict[str, str] = {
+    "op3_lm_score": lm_score.oracle(),
     "op4_secrets": secrets.oracle(),
     "op6_url_filter": url_filter.oracle(),
     "op7_embedding_links": embedding_links.oracle(),
