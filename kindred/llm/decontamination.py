@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import BROADCAST_IDS, cut, lean, slices
 
 #: Length of q-grams, edits allowed as a share of an item's characters.
 Q, RATE = 8, 0.1
@@ -226,8 +226,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
     The ids of the leaking documents are far fewer than documents; they are broadcast only if counted small.
     """
-    from .common import BROADCAST_IDS, cut
-
     leaks = cut(find_leaks(docs, benchmark, **how).select("doc_id").where("doc_id IS NOT NULL").distinct())
     few = leaks.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(leaks) if few else leaks.hint("merge"), "doc_id", "left_anti")

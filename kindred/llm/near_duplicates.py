@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, lean, mix, ngram_hashes, only_ids, slices, word_hashes
+from .common import BROADCAST_IDS, WordHashes, connected_components, cut, lean, mix, ngram_hashes, only_ids, slices, word_hashes
 
 WORDS, TREES, LEVELS = 5, 16, 3
 #: Classes in a node that are compared exhaustively; above it the node splits further.
@@ -261,6 +261,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("_id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose key is not the smallest of its component; dropped keys are broadcast only if counted small."""
+    dropped = cut(near_duplicates(docs, key, text).where("NOT kept").select(key).distinct())
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), key, "left_anti")
+
+
 def components_sql(alias: str = "documents") -> str:
     """DuckDB common table expressions for near_duplicates: `sets` (doc_id, n_shingles) and `reach` (doc_id, component_id)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -152,14 +152,11 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray,
     return w, bias
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> DataFrame:
-    """key, score (of the linear scorer, between 0 and 1, rounded), kept (score >= KEEP), for each row of docs.
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> tuple[np.ndarray, float]:
+    """Weights and bias of the scorer. Votes of all rows enter the estimates; at most train_rows keys, the first by hash, train it.
 
-    Null texts and texts without words have score 0 and are not kept. Repeated rows repeat their result. Votes of all
-    rows enter the estimates; at most train_rows rows, the first by hash of their key, train the scorer. The driver
-    holds pattern counts and that sample's features, both bounded.
+    The driver holds pattern counts and that sample's features, both bounded.
     """
-    kind = dict(docs.dtypes)[key]
     source = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
     zero = "".join("2" for _ in LABELLERS)
 
@@ -186,17 +183,42 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", train_row
     sample = source.join(F.broadcast(chosen), key, "left_semi").select("_text").mapInArrow(lean(featured), "votes string, b array<int>, w array<float>").toArrow()
     sample = sample.slice(0, 2 * train_rows)  # repeated rows of a key count twice at most
     rows = [(b.values.to_numpy(), w.values.to_numpy().astype(np.float64), post.get(v.as_py(), prior)) for v, b, w in zip(sample["votes"], sample["b"], sample["w"], strict=True)]
-    weights, bias = train(sorted(rows, key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes())))
+    return train(sorted(rows, key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes())))
+
+
+def scores(texts: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray:
+    """Scores of a batch's _text column; 0 without words."""
+    out = []
+    for _, _, words in documents([texts], ()):
+        b, w = features(words) if len(words) else ([], [])
+        out.append(1 / (1 + np.exp(-np.clip(weights[b] @ w + bias, -50, 50))) if len(words) else 0.0)
+    return np.array(out)
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> DataFrame:
+    """key, score (of the linear scorer, between 0 and 1, rounded), kept (score >= KEEP), for each row of docs.
+
+    Null texts and texts without words have score 0 and are not kept. Repeated rows repeat their result.
+    """
+    weights, bias = fit(docs, key, text, train_rows)
+    kind = dict(docs.dtypes)[key]
 
     def judge(batches):
         for batch in batches:
-            score = []
-            for _, _, words in documents([batch], ()):
-                if len(words):
-                    b, w = features(words)
-                    score.append(float(1 / (1 + np.exp(-np.clip(weights[b] @ w + bias, -50, 50)))))
-                else:
-                    score.append(0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.round(score, 4), pa.float64()), pa.array(np.array(score) >= KEEP, pa.bool_())], names=[key, "score", "kept"])
+            score = scores(batch, weights, bias)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.round(score, 4), pa.float64()), pa.array(score >= KEEP, pa.bool_())], names=[key, "score", "kept"])
 
+    source = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
     return source.mapInArrow(lean(judge), f"`{key}` {kind}, score double, kept boolean")
+
+
+def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> DataFrame:
+    """The rows of docs that the classifier keeps, with all columns; rows are judged where they are read."""
+    weights, bias = fit(docs, key, text, train_rows)
+
+    def judge(batches):
+        for batch in batches:
+            kept = scores(pa.RecordBatch.from_arrays([batch.column(text)], names=["_text"]), weights, bias) >= KEEP
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(lean(judge), docs.schema)
