@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,4 +28,32 @@ def local_session(app: str = "kindred", cores: str | int | None = None) -> Spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver's table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the checkpoint folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "kindred-checkpoints"))
+    return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors of a session, once, so that they needn't have it installed."""
+    import kindred
+
+    context = spark.sparkContext
+    if getattr(context, "_kindred_shipped", False) or context.master.startswith("local["):
+        return
+    root = os.path.dirname(os.path.abspath(kindred.__file__))
+    archive = os.path.join(tempfile.mkdtemp(), "kindred.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("kindred", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._kindred_shipped = True
