@@ -47,6 +47,19 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), dtype=kind)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: gaps by byte plane, of which only the upper three, nearly all zero, are compressed."""
+    planes = np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    return _pair(planes[:5].tobytes(), zlib.compress(planes[5:].tobytes(), 1))
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    low, high = _parts(b)
+    n = len(low) // 5
+    planes = np.concatenate([np.frombuffer(low, np.uint8).reshape(5, n), np.frombuffer(zlib.decompress(high), np.uint8).reshape(3, n)])
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _pair(a: bytes, b: bytes) -> bytes:
     return len(a).to_bytes(8, "little") + a + b
 
@@ -77,13 +90,13 @@ def _requests(order: int, bits: int):
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, head.schema) as out:
             out.write_batch(head)
-        yield _row(dest=chunk, chunk=chunk, n=0, part=0, keys=zlib.compress(sink.getvalue().to_pybytes(), 1), counts=_pair(_pack(vocabulary), _pack(at.astype(np.uint32))))
+        yield _row(dest=chunk, chunk=chunk, n=0, part=0, keys=zlib.compress(sink.getvalue().to_pybytes(), 1), counts=_pair(_pack_keys(vocabulary), _pack(at.astype(np.uint32))))
         for n in range(1, order + 1):
             keys, counts = np.unique(_keys(flat, starts, n)[0], return_counts=True)
             bounds = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 if b > a:
-                    yield _row(dest=p, chunk=chunk, n=n, part=p, keys=keys[a:b].tobytes(), counts=_pack(counts[a:b].astype(np.uint32)))
+                    yield _row(dest=p, chunk=chunk, n=n, part=p, keys=_pack_keys(keys[a:b]), counts=_pack(counts[a:b].astype(np.uint32)))
 
     def run(batches):
         cache = WordHashes()
@@ -115,7 +128,7 @@ def _answers(batches):
                 continue
             order = part.column("n").to_numpy()
             for n in np.unique(order).tolist():
-                own = [(r["chunk"], np.frombuffer(r["keys"], np.uint64), _unpack(r["counts"], np.uint32)) for r in part.filter(pa.array(order == n)).to_pylist()]
+                own = [(r["chunk"], _unpack_keys(r["keys"]), _unpack(r["counts"], np.uint32)) for r in part.filter(pa.array(order == n)).to_pylist()]
                 keys, at = np.unique(np.concatenate([k for _, k, _ in own]), return_inverse=True)
                 total = np.bincount(at, np.concatenate([c for _, _, c in own]).astype(np.float64), len(keys)).astype(np.int64)
                 done = 0
@@ -142,7 +155,7 @@ def _scores(order: int, schema_names: list[str]):
         head = pa.ipc.open_stream(zlib.decompress(heads[0]["keys"])).read_all()
         ids, sizes = head.column("id").to_pylist(), head.column("n").to_numpy()
         vocabulary, at = _parts(heads[0]["counts"])
-        flat = _unpack(vocabulary, np.uint64)[_unpack(at, np.uint32)]
+        flat = _unpack_keys(vocabulary)[_unpack(at, np.uint32)]
         starts = (np.cumsum(sizes) - sizes)[sizes > 0]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         # counts[n][i]: occurrences in other documents of the n-gram that ends at word i
@@ -172,7 +185,7 @@ def _scores(order: int, schema_names: list[str]):
         last = np.flatnonzero(open_)
         total[last] = penalty[last] + np.log(np.maximum(counts[1][last], 0.5))
         sums = [np.bincount(doc, x, len(sizes)) for x in (whole, total, open_)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2].astype(np.int64))], names=schema_names)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.int64))], names=schema_names)
 
     return run
 
