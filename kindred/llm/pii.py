@@ -185,7 +185,8 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     """docs with the entities of every whole text replaced by surrogates, and n_entities (long).
 
     Null texts stay null with 0 entities; texts without entities stay as they are. Repeated rows are treated alike.
-    All columns of docs are returned, the text changed in place; names that start with _pii_ are reserved.
+    All columns of docs are returned, the text changed in place; a column n_entities of docs is replaced, and names that
+    start with _pii_ are reserved.
     """
     hit = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     every = lambda: F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
@@ -214,4 +215,4 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     whole = F.concat(F.array_join(F.zip_with(F.slice("_pii_p", F.lit(1), F.size("_pii_m")), "_pii_m", lambda p, m: F.concat(p, m)), ""), F.element_at("_pii_p", -1))
     df = df.withColumn("n_entities", F.when(F.col("_pii_hit"), F.size("_pii_m").cast("long")).otherwise(F.lit(0).cast("long")))
     df = df.withColumn("_pii_text", F.when(F.col("_pii_hit"), whole).otherwise(F.col(text)))
-    return df.select(*[F.col("_pii_text").alias(text) if c == text else F.col(c) for c in docs.columns], "n_entities")
+    return df.select(*[F.col("_pii_text").alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_entities"], "n_entities")

@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     seen = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.percentile_approx("doc_id", [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("p")).first()
     n = min(SHARDS, max(1, -(-(seen["b"] or 0) // SHARD_BYTES)))
     grid = seen["p"] or [0]
-    bounds = np.unique(np.array([grid[round(i * (len(grid) - 1) / n)] for i in range(1, n)] or [grid[-1]], dtype=np.int64))
+    bounds = np.unique(np.array([grid[round(i * (len(grid) - 1) / n)] for i in range(1, n)], dtype=np.int64))
     n = len(bounds) + 1
 
     def encoded(batches):

@@ -141,7 +141,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url",
     table = F.lit(weights)
     score = F.aggregate("_b", F.lit(0.0), lambda s, b: s + F.get(table, b)) / F.sqrt(F.greatest(F.size("_b"), F.lit(1))) + F.lit(bias)
     df = df.withColumn("_p", 1 / (1 + F.exp(-score)))
-    verdict = F.when(F.coalesce(F.col("_rule.block"), (F.col("_p") >= 0.5).cast("int")) == 1, "block").otherwise("allow")
+    verdict = F.when(F.coalesce(F.col("_rule.block"), (F.col("_p") > 0.5).cast("int")) == 1, "block").otherwise("allow")
     return df.select(key, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.round("_p", 3).alias("p_block"))
 
 
@@ -176,4 +176,4 @@ scores AS (SELECT rid, sum(coalesce(w, 0)) AS s FROM (SELECT rid, unnest(f) AS b
 judged AS (SELECT page_id, host, path, 1 / (1 + exp(-(coalesce(s, 0) / sqrt(greatest(len(f), 1)) + (SELECT sum(a) FROM parts)))) AS prob,
   (SELECT arg_max([h || q, v], length(h || q)) FROM (VALUES {rules}) r(h, q, v) WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)) AS best
   FROM p LEFT JOIN scores USING (rid))
-SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], CASE WHEN prob >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(prob, 3) AS p_block FROM judged"""
+SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], CASE WHEN prob > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(prob, 3) AS p_block FROM judged"""
