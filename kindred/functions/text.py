@@ -92,9 +92,9 @@ def letters_and_digits(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def clean(s: Column, scripts: bool = False) -> Column:
-    """All of S1-S6; null is empty."""
-    s = F.translate(plain(F.coalesce(s, F.lit("")), scripts), "'`", "")
+def clean(s: Column) -> Column:
+    """All of S1-S6, of Latin letters; null is empty. Other scripts go through prepare, whose steps are columns."""
+    s = F.translate(plain(F.coalesce(s, F.lit(""))), "'`", "")
     return letters_and_digits(join_dotted(collapse_urls(s)))
 
 
@@ -128,9 +128,9 @@ def unleet(t: Column) -> Column:
     return F.when((digits > 0) & (letters >= 2) & (digits <= letters), F.translate(t, L.LEET_DIGITS, L.LEET_LETTERS)).otherwise(t)
 
 
-def norm_name(s: Column, scripts: bool = False) -> Column:
+def norm_name(s: Column) -> Column:
     """S10."""
-    return map_words(F.array_join(F.transform(words(clean(s, scripts)), unleet), " "), L.NAME_ABBREVIATIONS)
+    return map_words(F.array_join(F.transform(words(clean(s)), unleet), " "), L.NAME_ABBREVIATIONS)
 
 
 def core_name(name: Column, country: Column) -> Column:
@@ -177,9 +177,9 @@ def short_address_words(s: Column, keep_states: bool = False) -> Column:
     return F.array_join(F.transform(F.filter(words(F.trim(F.regexp_replace(s, r"\s+", " "))), lambda t: ~F.array_contains(drop, t)), lambda t: F.coalesce(F.element_at(forms, t), t)), " ")
 
 
-def norm_address(s: Column, scripts: bool = False) -> Column:
+def norm_address(s: Column) -> Column:
     """S19."""
-    s = join_pins(clean(drop_mixed_script(F.coalesce(s, F.lit(""))), scripts))
+    s = join_pins(clean(drop_mixed_script(F.coalesce(s, F.lit("")))))
     return short_address_words(code_states(drop_areas(bare_numbers(s))))
 
 
