@@ -189,7 +189,7 @@ def country_key(s: Column) -> Column:
 
 def numbers(address: Column) -> Column:
     """S21."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(address, F.lit(r"\d+"), F.lit(0))))
+    return F.sort_array(F.array_distinct(F.regexp_extract_all(address, F.lit(r"\d+"), F.lit(0))))
 
 
 def postal(nums: Column) -> Column:

@@ -18,7 +18,7 @@ LEAST_DF, MAX_DF = 2, 50
 
 
 def digest(items: Column) -> Column:
-    return F.md5(F.array_join(F.array_sort(items), " "))
+    return F.md5(F.array_join(F.sort_array(items), " "))
 
 
 DOTTED = D.q(r"\b(?:[a-z]\.){2,}")

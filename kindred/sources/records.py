@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import prepare
-from .session import table
+from .session import spread, table
 
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in ("entity_id", "business_name", "business_address", "country")])
 #: Sources of documents that play source 1, and those whose pool records count as source 3.
@@ -68,7 +68,7 @@ def write_tsv(df: DataFrame, path: str) -> None:
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as business records: name the first words, address all others, country the language; side by source."""
     ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
-    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", ws.alias("w"))
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).withColumn("w", ws)
     return df.select(
         F.col("doc_id").alias("entity_id"),
         F.array_join(F.slice("w", 1, NAME_WORDS), " ").alias("business_name"),

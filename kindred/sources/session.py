@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than cores, as of a small file with few row groups, is dealt to all; any other stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the checkpoint folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
     spark = df.sparkSession
