@@ -47,14 +47,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors of a session, once, so that they needn't have it installed."""
+    """Makes this package importable in a session's Python workers: sends it once, unless PYTHONPATH has it already."""
     import kindred
 
     context = spark.sparkContext
-    if getattr(context, "_kindred_shipped", False) or context.master.startswith("local["):
-        return
     root = os.path.dirname(os.path.abspath(kindred.__file__))
-    archive = os.path.join(tempfile.mkdtemp(), "kindred.zip")
+    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if getattr(context, "_kindred_shipped", False) or os.path.realpath(os.path.dirname(root)) in paths:
+        return
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp()), "kindred.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, names in os.walk(root):
             for n in names:
