@@ -38,11 +38,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "kindred-checkpoints"))
+    return named or os.path.dirname(context.getCheckpointDir())
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the checkpoint folder that driver and executors share (spark.checkpoint.dir; a local one where it is unset)."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "kindred-checkpoints"))
+    """df, computed once and read from the shared checkpoint folder from then on; lost executors lose nothing of it."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
