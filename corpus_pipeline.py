@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm import byte_bpe, decontamination, near_duplicates, pii, quality
-from kindred.llm.common import shared_dir
 from kindred.llm.queries import SECRET
+from kindred.sources.session import checkpoint_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read by the next."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:

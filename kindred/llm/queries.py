@@ -10,8 +10,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.session import checkpoint_dir
 from . import byte_bpe, decontamination, embedding_links, lm_score, near_duplicates, pii, quality, secrets, token_files, url_filter
-from .common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
     manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_tokens(spark, folder, manifest)
