@@ -50,7 +50,7 @@ def pool(*sources: DataFrame) -> DataFrame:
 
 def truth_pairs(df: DataFrame, entity: str = "source1_entity_id", matches: str = "matched_entity_ids") -> DataFrame:
     """IO12: (s1, m) from comma lists; ids trimmed, blanks left out, each pair once."""
-    m = F.explode(F.transform(F.split(F.coalesce(F.col(matches), F.lit("")), ","), F.trim))
+    m = F.explode(F.transform(F.split(F.coalesce(F.col(matches), F.lit("")), ","), lambda x: F.trim(x)))
     return df.select(F.trim(entity).alias("s1"), m.alias("m")).where("m <> ''").distinct()
 
 
