@@ -65,12 +65,25 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once: expressions would be copied wherever they are used, and plans grow with that."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: All alphabets in a row, and for each of their characters where its alphabet begins and how long it is.
+CHARACTERS = "".join(ALPHABETS)
+BEGINS = [CHARACTERS.index(a) for a in ALPHABETS for _ in a]
+LENGTHS = [len(a) for a in ALPHABETS for _ in a]
+
+
 def _swap(c: Column, draw: Column) -> Column:
     """A character of the same alphabet, by a drawn number; characters of no alphabet stay."""
-    out = F.when(F.lit(False), c)
-    for a in ALPHABETS:
-        out = out.when(F.position(c, F.lit(a)) > 0, F.substring(F.lit(a), (F.pmod(draw, F.lit(len(a))) + 1).cast("int"), F.lit(1)))
-    return out.otherwise(c)
+
+    def other(p: Column) -> Column:
+        at = F.get(F.lit(BEGINS), p - 1) + F.pmod(draw, F.get(F.lit(LENGTHS), p - 1)) + 1
+        return F.when(p == 0, c).otherwise(F.substring(F.lit(CHARACTERS), at.cast("int"), F.lit(1)))
+
+    return _let(F.position(c, F.lit(CHARACTERS)), other)
 
 
 def _drawn(text: Column, seed: Column) -> Column:
@@ -111,32 +124,46 @@ def kind_of(entity: Column) -> Column:
 def surrogate(kind: Column, entity: Column, draw: Column, key: str) -> Column:
     """The surrogate of an entity (an email, a number or one word of a name) at a draw; letter case follows the entity."""
     salt = hashlib.sha256(key.encode()).hexdigest()
-    norm = F.lower(entity)
-    seed = lambda *of: F.sha2(F.concat_ws("\0", F.lit(salt), kind, *[o.cast("string") for o in of]), 256)
-    own = seed(norm, draw)
-    longer = F.repeat(F.lit("0"), F.greatest(draw - STRICT + 1, F.lit(0)))
-    local, domain, top = (F.regexp_extract(entity, "^([^@]+)@(.*)(\\.[^.]+)$", i) for i in (1, 2, 3))
-    domain_seed = F.sha2(F.concat_ws("\0", F.lit(salt), F.lit("domain"), F.lower(domain)), 256)
-    email = F.concat(_drawn(F.concat(local, longer), own), F.lit("@"), _drawn(domain, domain_seed), top)
-
-    def octet(o: Column, i: Column) -> Column:
-        n, size = F.xxhash64(own, i), F.length(o)
-        held = F.when(size == 1, F.pmod(n, F.lit(9)) + 1).when(size == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(156)) + 100)
-        return F.when(draw < STRICT, held).otherwise(F.pmod(n, F.lit(254)) + 1).cast("string")
-
-    ip = F.array_join(F.transform(F.split(entity, "\\."), octet), ".")
-    digits = F.regexp_replace(entity, "[^0-9]", "")
-    number = _drawn(F.concat(entity, longer), own)
-    bare = F.regexp_replace(number, "[^0-9]", "")
-    # a card that passes the Luhn check stays one that does
-    last = F.pmod(-_luhn(F.concat(F.substring(bare, F.lit(1), F.length(bare) - 1), F.lit("0"))), F.lit(10)).cast("string")
-    card = F.when(_luhn(digits) == 0, F.concat(F.substring(number, F.lit(1), F.length(number) - 1), last)).otherwise(number)
-    # the country code of a phone and of an account stay
-    head = F.when(kind == "phone", F.regexp_extract(entity, "^\\+?[0-9]{1,3}(?=[ .(-])", 0)).otherwise(F.substring(entity, F.lit(1), F.lit(2)))
-    head = F.when((kind == "phone") & ~entity.rlike("^\\+|\\("), "").otherwise(head)
-    rest = F.concat(head, _drawn(F.concat(F.substring(entity, F.length(head) + 1, F.length(entity)), longer), own))
-    name = _spoken(F.concat(entity, F.regexp_replace(longer, "0", "o")), own)
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "iban"), rest).when(kind == "name", name).otherwise(number)
+    return _let(F.struct(kind.alias("kind"), entity.alias("entity"), draw.alias("draw")), lambda x: _surrogate(x["kind"], x["entity"], x["draw"], salt))
+
+
+def _surrogate(kind: Column, entity: Column, draw: Column, salt: str) -> Column:
+    seed = lambda *of: F.sha2(F.concat_ws("\0", F.lit(salt), *of), 256)
+    longer = lambda c="0": F.repeat(F.lit(c), F.greatest(draw - STRICT + 1, F.lit(0)))
+
+    def email(own: Column) -> Column:
+        local, domain, top = (F.regexp_extract(entity, "^([^@]+)@(.*)(\\.[^.]+)$", i) for i in (1, 2, 3))
+        return F.concat(_drawn(F.concat(local, longer()), own), F.lit("@"), _let(domain, lambda d: _drawn(d, seed(F.lit("domain"), F.lower(d)))), top)
+
+    def ip(own: Column) -> Column:
+        def octet(o: Column, i: Column) -> Column:
+            # as many digits as before: 1-9, 10-99 or 100-255
+            low = F.when(draw >= STRICT, 1).when(F.length(o) == 1, 1).when(F.length(o) == 2, 10).otherwise(100)
+            many = F.when(draw >= STRICT, 254).when(F.length(o) == 1, 9).when(F.length(o) == 2, 90).otherwise(156)
+            return (F.pmod(F.xxhash64(own, i), many) + low).cast("string")
+
+        return F.array_join(F.transform(F.split(entity, "\\."), octet), ".")
+
+    def number(own: Column) -> Column:
+        def checked(n: Column) -> Column:
+            """A card that passes the Luhn check stays one that does."""
+            valid = (kind == "card") & (_let(F.regexp_replace(entity, "[^0-9]", ""), _luhn) == 0)
+            body = F.substring(n, F.lit(1), F.length(n) - 1)
+            last = F.pmod(-_let(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0")), _luhn), F.lit(10)).cast("string")
+            return F.when(valid, F.concat(body, last)).otherwise(n)
+
+        return _let(_drawn(F.concat(entity, longer()), own), checked)
+
+    def coded(own: Column) -> Column:
+        """The country code of a phone and of an account stay."""
+        head = F.when(kind == "iban", F.substring(entity, F.lit(1), F.lit(2))).when(entity.rlike("^\\+|\\("), F.regexp_extract(entity, "^\\+?[0-9]{1,3}(?=[ .(-])", 0)).otherwise("")
+        return _let(head, lambda h: F.concat(h, _drawn(F.concat(F.substring(entity, F.length(h) + 1, F.length(entity)), longer()), own)))
+
+    def any_kind(own: Column) -> Column:
+        out = F.when(kind == "email", email(own)).when(kind == "ip", ip(own)).when(kind.isin("phone", "iban"), coded(own))
+        return out.when(kind == "name", _spoken(F.concat(entity, longer("o")), own)).otherwise(number(own))
+
+    return _let(seed(kind, F.lower(entity), draw.cast("string")), any_kind)
 
 
 def _given(word: Column, key: str) -> Column:
@@ -157,7 +184,7 @@ def entities(match: Column) -> Column:
     """The (kind, entity) items of a detected span: the span itself, or of a person the words that are neither title nor given name."""
     words = F.filter(F.split(match, " "), lambda w: ~w.rlike(TITLE) & _given(w, "").isNull())
     item = lambda kind, e: F.struct(kind.alias("kind"), F.lower(e).alias("norm"))
-    return F.when(kind_of(match) == "person", F.transform(words, lambda w: item(F.lit("name"), w))).otherwise(F.array(item(kind_of(match), match)))
+    return _let(kind_of(match), lambda k: F.when(k == "person", F.transform(words, lambda w: item(F.lit("name"), w))).otherwise(F.array(item(k, match))))
 
 
 def draws(found: DataFrame, key: str) -> DataFrame:
@@ -208,16 +235,18 @@ def pseudonymise(docs: DataFrame, secret: str, key: str = "doc_id", text: str =
     df = df.join(F.broadcast(later) if few else later.hint("merge"), "_pii_row", "left")
     df = df.withColumn("_pii_m", F.when(F.col("_pii_hit"), every())).withColumn("_pii_p", F.when(F.col("_pii_hit"), F.split(text, ANY, -1)))
 
-    def one(kind: Column, e: Column) -> Column:
-        draw = F.coalesce(F.element_at("_pii_draws", F.concat_ws("\0", kind, F.lower(e))), F.lit(0))
-        return surrogate(kind, e, draw, secret)
-
-    def word(w: Column) -> Column:
-        return F.when(w.rlike(TITLE), w).otherwise(F.coalesce(_given(w, secret), one(F.lit("name"), w)))
+    def word(w: Column, kind: Column) -> Column:
+        """A word of a person, or another kind's whole span, replaced."""
+        draw = F.coalesce(F.element_at("_pii_draws", F.concat_ws("\0", kind, F.lower(w))), F.lit(0))
+        made = surrogate(kind, w, draw, secret)
+        return F.when((kind == "name") & w.rlike(TITLE), w).otherwise(F.coalesce(F.when(kind == "name", _given(w, secret)), made))
 
     def replaced(m: Column) -> Column:
-        kind = kind_of(m)
-        return F.when(kind == "person", F.array_join(F.transform(F.split(m, " "), word), " ")).otherwise(one(kind, m))
+        def by_kind(k: Column) -> Column:
+            parts = F.when(k == "person", F.split(m, " ")).otherwise(F.array(m))
+            return F.array_join(F.transform(parts, lambda w: word(w, F.when(k == "person", "name").otherwise(k))), " ")
+
+        return _let(kind_of(m), by_kind)
 
     df = df.withColumn("_pii_m", F.transform("_pii_m", replaced))
     whole = F.concat(F.array_join(F.zip_with(F.slice("_pii_p", F.lit(1), F.size("_pii_m")), "_pii_m", lambda p, m: F.concat(p, m)), ""), F.element_at("_pii_p", -1))
