@@ -68,7 +68,7 @@ def all_there(spark: SparkSession, paths: list[str]) -> bool:
     return all((p := make(x)).getFileSystem(conf).exists(p) for x in paths)
 
 
-def linkage_stages(sf_dir: str, tau: float = 0.02, miss: float = 0.02, max_df: int = 50) -> list[Stage]:
+def linkage_stages(sf_dir: str, tau: float = 0.02, miss: float = 0.02, max_df: int = 5000) -> list[Stage]:
     """Documents as records from normalisation to match lists, all countries in one plan."""
     from pyspark.sql import functions as F
 

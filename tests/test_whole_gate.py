@@ -1,0 +1,36 @@
+"""Blocking at the reference's gate: groups of more than fifty copies keep their links."""
+
+from __future__ import annotations
+
+from kindred.plans import registry, stages
+
+registry.load()
+COPIES = 60
+
+
+def copies(spark, folder):
+    """60 exact copies in either side of a block: each of their tokens has a document frequency of 120."""
+    text = "acme steel works north harbour gate twelve annex riverside quay industrial estate harbour town"
+    rows = [(i, text, "en", f"src{i % 2}", len(text)) for i in range(2 * COPIES)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_copies_are_candidates(spark, tmp_path):
+    from kindred.sources.records import FIRST_SOURCES
+
+    assert "src0" in FIRST_SOURCES and "src1" not in FIRST_SOURCES
+    d = copies(spark, tmp_path)
+    assert registry.QUERIES["block_union"](spark, d).count() == 0  # what its SQL asks for
+    got = registry.QUERIES["block_union_whole"](spark, d).collect()
+    assert {r["s1_id"] for r in got} == set(range(0, 2 * COPIES, 2)) and {r["cand_id"] for r in got} == set(range(1, 2 * COPIES, 2))
+    assert registry.QUERIES["stream_link"](spark, d).select("cand_id").distinct().count() == COPIES
+    assert {s.name: s.parameters for s in stages.linkage_stages(d)}["candidates"] == {"max_df": 5000}
+
+
+def test_twins_have_sql_of_their_own():
+    twins = [n for n in registry.ORACLES if n.endswith("_whole")]
+    assert len(twins) == 17
+    for n in twins:
+        sql, own = registry.ORACLES[n.removesuffix("_whole")], registry.ORACLES[n]
+        assert "BETWEEN 2 AND 50)" in sql and "BETWEEN 2 AND 50)" not in own and "BETWEEN 2 AND 5000)" in own
