@@ -236,3 +236,26 @@ s AS (SELECT t.rid, t.a, coalesce(p.n - pd.n, 0) AS c2, ua.n - uda.n AS c1, u.n
 r AS (SELECT rid, count(*)::BIGINT AS n_words, sum((c2 > 0)::BIGINT)::BIGINT AS n_known,
   round(sum(CASE WHEN c2 > 0 THEN ln(c2) - ln(c1) ELSE CASE WHEN a IS NULL THEN 0 ELSE ln({BACKOFF}) END + ln(greatest(c0, 0.5)) - ln(rest) END) / count(*), 4) AS log_score FROM s GROUP BY rid)
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, log_score FROM d LEFT JOIN r USING (rid)"""
+
+
+def oracle_of_order_3() -> str:
+    """DuckDB SQL for score_documents(documents, order=3)."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT rid, unnest(w) AS c, unnest(list_prepend(NULL, w)[1:len(w)]) AS b, unnest(list_prepend(NULL, list_prepend(NULL, w))[1:len(w)]) AS a FROM d WHERE len(w) > 0),
+n1 AS (SELECT c, count(*) AS n FROM t GROUP BY c), o1 AS (SELECT rid, c, count(*) AS n FROM t GROUP BY rid, c),
+n2 AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c), o2 AS (SELECT rid, b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY rid, b, c),
+n3 AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c), o3 AS (SELECT rid, a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY rid, a, b, c),
+total AS (SELECT count(*) AS n FROM t),
+own AS (SELECT rid, count(*) AS n FROM t GROUP BY rid),
+s AS (SELECT t.rid, t.a, t.b, coalesce(n3.n - o3.n, 0) AS abc, h2.n - g2.n AS ab, coalesce(n2.n - o2.n, 0) AS bc, h1.n - g1.n AS just_b, n1.n - o1.n AS just_c, greatest((SELECT n FROM total) - own.n, 1) AS rest
+  FROM t JOIN own USING (rid) JOIN n1 ON n1.c = t.c JOIN o1 ON o1.rid = t.rid AND o1.c = t.c
+  LEFT JOIN n2 ON n2.b = t.b AND n2.c = t.c LEFT JOIN o2 ON o2.rid = t.rid AND o2.b = t.b AND o2.c = t.c
+  LEFT JOIN n3 ON n3.a = t.a AND n3.b = t.b AND n3.c = t.c LEFT JOIN o3 ON o3.rid = t.rid AND o3.a = t.a AND o3.b = t.b AND o3.c = t.c
+  LEFT JOIN n1 h1 ON h1.c = t.b LEFT JOIN o1 g1 ON g1.rid = t.rid AND g1.c = t.b
+  LEFT JOIN n2 h2 ON h2.b = t.a AND h2.c = t.b LEFT JOIN o2 g2 ON g2.rid = t.rid AND g2.b = t.a AND g2.c = t.b),
+r AS (SELECT rid, count(*)::BIGINT AS n_words, sum((abc > 0)::BIGINT)::BIGINT AS n_known,
+  round(sum(CASE WHEN abc > 0 THEN ln(abc) - ln(ab) ELSE CASE WHEN a IS NULL THEN 0 ELSE ln({BACKOFF}) END
+    + CASE WHEN bc > 0 THEN ln(bc) - ln(just_b) ELSE CASE WHEN b IS NULL THEN 0 ELSE ln({BACKOFF}) END + ln(greatest(just_c, 0.5)) - ln(rest) END END) / count(*), 4) AS log_score FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, log_score FROM d LEFT JOIN r USING (rid)"""

@@ -1,0 +1,15 @@
+"""The query of op3 at order 3 sees what bigrams cannot: known pairs of words in an unknown order of three."""
+
+from __future__ import annotations
+
+from kindred.llm import queries
+
+
+def test_query_of_order_3(spark, tmp_path):
+    texts = ["x a b y", "z b c w", "a b c", "u a b y", "one", "", None]
+    rows = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    known = lambda name: {r["doc_id"]: r["n_known"] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert known("op3_lm_score")[2] == 2  # both pairs are known elsewhere
+    three = known("op3_lm_score_order3")
+    assert three[2] == 0 and three[0] == three[3] == 1 and three[4] == three[5] == three[6] == 0
