@@ -8,7 +8,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.session import cut
@@ -17,6 +17,44 @@ from ..sources.session import cut
 BROADCAST_IDS = 500_000
 #: Rows of text that a Python operator holds as str at one time.
 SLICE = 256
+#: Longer words (in bytes) are worked on anew each time, so that a cache of n words holds at most about n * (CACHED + 100) bytes.
+CACHED = 64
+#: A key is hot if it has more than one in HOT of all rows, so there are fewer than HOT hot keys, whatever the size of the table.
+HOT = 2000
+
+
+def integral(df: DataFrame, column: str) -> Column:
+    """The column as long; other types than integers are refused at once, as ids are ordered and compared as numbers."""
+    kind = dict(df.dtypes)[column]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{column} has type {kind}; this operator needs integer ids (map others to integers first)")
+    return F.col(column).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), the value computed once: expressions would be copied wherever they are used, and plans grow with that."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """df with partitions that hold the same rows in the same order when a lost task runs again.
+
+    Scans do; what comes out of a shuffle has no fixed order, so it is written to the shared folder and read from there.
+    """
+    return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows (materialised, it is read twice) joined to counted, a materialised row per key with the number n of rows that have it.
+
+    The hot keys, fewer than HOT, are broadcast and their rows stay where they are; the others are shuffled, and none of
+    them has more than one in HOT of the rows. how: inner or left; rows of a null key never match.
+    """
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(counted.where(F.col(n) * HOT > total))
+    warm = rows.join(hot, key)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return warm.unionByName(rest.join(counted.where(F.col(n) * HOT <= total).hint("merge"), key, how))
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -41,16 +79,18 @@ def lean(run):
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; emptied when it holds `most` words, so its memory is bounded."""
+    """word (bytes) -> 64-bit hash; emptied when it holds `most` words, and long words are not kept, so its memory is bounded."""
 
     def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 

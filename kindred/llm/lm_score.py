@@ -4,10 +4,17 @@ The n-grams of every document are exploded and counted over the whole corpus in
 counts are joined back to the documents' n-grams and summed per document. A document's own occurrences are taken off
 all counts, else every n-gram would be known and nothing would ever back off.
 
-Rows are packed: a chunk of documents sends each hash partition one row with the sorted distinct hashes of its n-grams
-and their counts in the chunk, so a frequent n-gram is one entry a chunk and no partition is larger for it. The
-partition answers with the counts elsewhere in the corpus, and the chunk, whose words travel along as small integers,
-scores its documents from the answers.
+The exploded table (chunk, n, key, count) is kept in packed rows: a chunk of documents has, for each order and range of
+hashes, one row with the sorted distinct hashes of its n-grams and their counts in the chunk. Three steps follow.
+
+1. explode: documents -> packed n-grams, already summed within a chunk, so a frequent n-gram is one entry a chunk
+2. count and join, by range of hashes: the counts of all chunks are summed by n-gram, and each chunk's n-grams get the
+   sum less their own count
+3. score, by chunk: the words of the chunk, which travel along as small integers, look their n-grams up, back off and are
+   summed by document
+
+A packed row has at least one n-gram, so there are never more rows than a plain table of n-grams would have; packing
+only makes them fewer and, by gaps between sorted hashes, smaller.
 """
 
 from __future__ import annotations
@@ -16,35 +23,42 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, lean, mix, ngram_hashes, slices, word_hashes
+from .common import WordHashes, cut, integral, lean, mix, ngram_hashes, slices, stable, word_hashes
 from .near_duplicates import grouped
 
 #: Longest n-gram, factor of each step back.
-ORDER, BACKOFF = 2, 0.4
-#: Words after which a chunk is closed (a longer document is a chunk of its own), bytes of text for each hash partition.
-CHUNK, PARTITION_BYTES = 1_000_000, 16 << 20
-ROW = "dest long, chunk long, n int, part int, keys binary, counts binary"
+ORDER, BACKOFF = 3, 0.4
+#: Words after which a chunk is closed (a longer document is a chunk of its own), bytes of text for each range of hashes.
+CHUNK, PARTITION_BYTES = 4_000_000, 16 << 20
+#: Chunks that a task may have.
+CHUNKS = 1 << 24
+ROW = pa.schema([("dest", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ROW_SQL = "dest int, chunk long, n int, part int, keys binary, counts binary"
 
 
-def _keys(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that lie within one document, and the position of the last word of each."""
+def _keys(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that lie within one document, and the position of the last word of each; doc is the document of each word."""
     if n == 1:
-        return mix(words + np.uint64(1)), np.arange(len(words))
-    end = np.arange(n - 1, len(words))
-    doc = np.searchsorted(starts, np.arange(len(words)), side="right")
-    inside = doc[n - 1 :] == doc[: len(words) - n + 1]
-    return ngram_hashes(words, n)[inside], end[inside]
+        return mix(words + np.uint64(1)), np.arange(len(words), dtype=np.int32)
+    inside = doc[n - 1 :] == doc[: max(0, len(words) - n + 1)]
+    return ngram_hashes(words, n)[inside], np.flatnonzero(inside).astype(np.int32) + np.int32(n - 1)
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Non-negative integers by byte plane, no more planes than the largest has bytes."""
+    width = (int(a.max(initial=0)).bit_length() + 7) // 8
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), dtype=kind)
+def _unpack(b: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, 8), dtype=np.uint8)
+    out[:, : b[0]] = np.frombuffer(zlib.decompress(b[1:]), dtype=np.uint8).reshape(b[0], size).T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -69,150 +83,178 @@ def _parts(x: bytes) -> tuple[bytes, bytes]:
     return x[8:n], x[n:]
 
 
-def _row(**values) -> pa.RecordBatch:
-    kinds = {"dest": pa.int64(), "chunk": pa.int64(), "n": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([values.get(c)], t) for c, t in kinds.items()], names=list(kinds))
+def _batches(rows, size: int = 4 << 20):
+    """Tuples of ROW -> record batches of about `size` bytes."""
+    held, bytes_ = [], 0
+    for row in rows:
+        held.append(row)
+        bytes_ += len(row[4] or b"") + len(row[5] or b"")
+        if bytes_ >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), ROW, strict=True)], schema=ROW)
+            held, bytes_ = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), ROW, strict=True)], schema=ROW)
+
 
+def _explode(order: int, bits: int):
+    """Step 1. Documents -> for each chunk its words (n = 0), and for each order and range of hashes its n-grams.
 
-def _requests(order: int, bits: int):
-    """Documents -> one row for each chunk, order and hash partition, and the chunk itself (n = 0)."""
+    A chunk is named by the task's partition and its number there, so equal chunks stay apart.
+    """
 
-    def chunk_rows(ids, words):
+    def chunk_rows(chunk, ids, words):
         flat = np.concatenate([np.zeros(0, np.uint64), *words])
         sizes = np.array([len(w) for w in words], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        starts = starts[sizes > 0]
-        vocabulary, at = np.unique(flat, return_inverse=True)
-        digest = zlib.crc32(flat.tobytes())
-        chunk = int(mix(np.array([digest << 32 ^ zlib.crc32(repr(ids).encode())], dtype=np.uint64)).view(np.int64)[0]) | 1 << 62
-        chunk &= (1 << 63) - 1  # chunks have large keys, partitions small ones
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        vocabulary, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+        rank = np.empty(len(n), dtype=np.uint32)  # frequent words have small numbers
+        by_frequency = np.argsort(-n, kind="stable")
+        rank[by_frequency] = np.arange(len(n), dtype=np.uint32)
         head = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes)], names=["id", "n"])
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, head.schema) as out:
             out.write_batch(head)
-        yield _row(dest=chunk, chunk=chunk, n=0, part=0, keys=zlib.compress(sink.getvalue().to_pybytes(), 1), counts=_pair(_pack_keys(vocabulary), _pack(at.astype(np.uint32))))
+        body = _pair(_pack_keys(vocabulary), _pair(_pack(by_frequency), _pack(rank[at])))
+        del at, rank, by_frequency
+        yield chunk % (1 << bits), chunk, 0, 0, zlib.compress(sink.getvalue().to_pybytes(), 1), body
         for n in range(1, order + 1):
-            keys, counts = np.unique(_keys(flat, starts, n)[0], return_counts=True)
-            bounds = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            for p, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-                if b > a:
-                    yield _row(dest=p, chunk=chunk, n=n, part=p, keys=_pack_keys(keys[a:b]), counts=_pack(counts[a:b].astype(np.uint32)))
+            keys, counts = np.unique(_keys(flat, doc, n)[0], return_counts=True)
+            part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield int(part[a]), chunk, n, int(part[a]), _pack_keys(keys[a:b]), _pack(counts[a:b])
 
-    def run(batches):
+    def rows(batches):
         cache = WordHashes()
+        chunk = TaskContext.get().partitionId() * CHUNKS
         ids, words, held = [], [], 0
         for some, texts in slices(batches, ("_id", "_text"), "_text", 1_000_000):
             for i, t in zip(some, texts, strict=True):
                 w = word_hashes(t, cache)
                 if held and held + len(w) > CHUNK:
-                    yield from chunk_rows(ids, words)
+                    yield from chunk_rows(chunk, ids, words)
+                    chunk += 1
                     ids, words, held = [], [], 0
                 ids.append(i)
                 words.append(w)
                 held += len(w)
         if ids:
-            yield from chunk_rows(ids, words)
+            yield from chunk_rows(chunk, ids, words)
+
+    return lambda batches: _batches(rows(batches))
 
-    return run
 
+def _count_and_join(batches):
+    """Step 2. Rows of one range of hashes, by order -> for each chunk, the counts of its n-grams in all other chunks (0: none)."""
 
-def _answers(batches):
-    """Rows of a hash partition -> for each chunk, the counts of its n-grams in all other chunks (0: none); chunks pass."""
-    for table in grouped(batches, "dest"):
-        dest = table.column("dest").to_numpy()
-        bounds = np.flatnonzero(np.r_[True, dest[1:] != dest[:-1], True])
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            part = table.slice(a, b - a)
-            if dest[a] >= 1 << 62:
-                yield from part.combine_chunks().to_batches()
-                continue
-            order = part.column("n").to_numpy()
-            for n in np.unique(order).tolist():
-                own = [(r["chunk"], _unpack_keys(r["keys"]), _unpack(r["counts"], np.uint32)) for r in part.filter(pa.array(order == n)).to_pylist()]
-                keys, at = np.unique(np.concatenate([k for _, k, _ in own]), return_inverse=True)
-                total = np.bincount(at, np.concatenate([c for _, _, c in own]).astype(np.float64), len(keys)).astype(np.int64)
+    def rows():
+        for table in grouped(batches, "n"):
+            order = table.column("n").to_numpy()
+            bounds = np.flatnonzero(np.r_[True, order[1:] != order[:-1], True])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                asked = table.slice(a, b - a).to_pylist()
+                if order[a] == 0:  # the words of chunks pass
+                    yield from ((r["dest"], r["chunk"], 0, 0, r["keys"], r["counts"]) for r in asked)
+                    continue
+                own = [_unpack_keys(r["keys"]) for r in asked]
+                counts = [_unpack(r["counts"], len(k)) for r, k in zip(asked, own, strict=True)]
+                keys, at = np.unique(np.concatenate(own), return_inverse=True)
+                total = np.zeros(len(keys), dtype=np.int64)
+                np.add.at(total, at, np.concatenate(counts))
                 done = 0
-                for chunk, k, c in own:
-                    rest = total[at[done : done + len(k)]] - c
-                    done += len(k)
-                    yield _row(dest=chunk, chunk=chunk, n=n, part=int(dest[a]), counts=_pack(rest))
+                for r, c in zip(asked, counts, strict=True):
+                    rest = total[at[done : done + len(c)]] - c
+                    done += len(c)
+                    yield r["dest"], r["chunk"], r["n"], r["part"], None, _pair(len(c).to_bytes(8, "little"), _pack(rest))
 
+    return _batches(rows())
 
-def _scores(order: int, schema_names: list[str]):
-    """Rows of a chunk, the chunk first and answers by order and partition -> per document: words, n-grams known in full, log score without the corpus size, words that need it."""
+
+def _score(order: int, names: list[str]):
+    """Step 3. Rows of a chunk, its words first, then counts by order and range -> per document: words, n-grams known in full, log score without the corpus size, words that need it."""
 
     def run(batches):
         for table in grouped(batches, "chunk"):
             chunks = table.column("chunk").to_numpy()
             bounds = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True])
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                yield from score(table.slice(a, b - a).to_pylist())
+                yield score(table.slice(a, b - a).to_pylist())
+
+    def elsewhere(rows, flat, doc, n):
+        """Occurrences in other documents of the n-gram that ends at each word."""
+        answers = []
+        for r in rows:
+            if r["n"] == n:
+                size, packed = _parts(r["counts"])
+                answers.append(_unpack(packed, int.from_bytes(size, "little")))
+        rest = np.concatenate([np.zeros(0, np.int64), *answers])
+        out = np.zeros(len(flat), dtype=np.int64)
+        keys, end = _keys(flat, doc, n)
+        if not len(keys):
+            return out
+        by = np.argsort(keys, kind="stable")  # by n-gram, and for each by document
+        keys, end = keys[by], end[by]
+        own = doc[end]
+        new = keys[1:] != keys[:-1]
+        which = np.cumsum(np.r_[False, new])
+        pair = np.cumsum(np.r_[False, new | (own[1:] != own[:-1])])
+        if len(rest) != which[-1] + 1:
+            raise RuntimeError("a chunk and its counts don't belong together; were the documents read in another order?")
+        out[end] = (rest + np.bincount(which))[which] - np.bincount(pair)[pair]
+        return out
 
     def score(rows):
-        heads = [r for r in rows if r["n"] == 0]
-        if len(heads) != 1:
-            raise RuntimeError("a chunk and its answers don't belong together; were the documents read in another order?")
-        head = pa.ipc.open_stream(zlib.decompress(heads[0]["keys"])).read_all()
+        rows.sort(key=lambda r: (r["n"], r["part"]))
+        head = pa.ipc.open_stream(zlib.decompress(rows[0]["keys"])).read_all()
         ids, sizes = head.column("id").to_pylist(), head.column("n").to_numpy()
-        vocabulary, at = _parts(heads[0]["counts"])
-        flat = _unpack_keys(vocabulary)[_unpack(at, np.uint32)]
-        starts = (np.cumsum(sizes) - sizes)[sizes > 0]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        # counts[n][i]: occurrences in other documents of the n-gram that ends at word i
-        counts = [None] + [np.zeros(len(flat), dtype=np.int64) for _ in range(order)]
-        for n in range(1, order + 1):
-            found = sorted((r for r in rows if r["n"] == n), key=lambda r: r["part"])
-            raw, end = _keys(flat, starts, n)
-            keys, inverse, seen = np.unique(raw, return_inverse=True, return_counts=True)
-            rest = np.concatenate([np.zeros(0, np.int64), *[_answer(r["counts"]) for r in found]])
-            if len(rest) != len(keys):
-                raise RuntimeError("a chunk lacks answers")
-            pair = inverse * np.int64(len(sizes)) + doc[end]
-            _, which, mine = np.unique(pair, return_inverse=True, return_counts=True)
-            counts[n][end] = (rest + seen)[inverse] - mine[which]
-        total = np.zeros(len(flat))
-        open_ = np.ones(len(flat), dtype=bool)
-        whole = np.zeros(len(flat), dtype=bool)
+        vocabulary, packed = _parts(rows[0]["counts"])
+        by_frequency, rank = _parts(packed)
+        vocabulary = _unpack_keys(vocabulary)
+        flat = vocabulary[_unpack(by_frequency, len(vocabulary))][_unpack(rank, int(sizes.sum()))]
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        total, penalty = np.zeros(len(flat)), np.zeros(len(flat))
+        open_, whole = np.ones(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
         first = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # words before, in the document
-        penalty = np.zeros(len(flat))
+        longer = elsewhere(rows, flat, doc, order)
         for n in range(order, 1, -1):
+            shorter = elsewhere(rows, flat, doc, n - 1)
             fits = open_ & (first >= n - 1)
-            good = np.flatnonzero(fits & (counts[n] > 0))
-            total[good] = penalty[good] + np.log(counts[n][good]) - np.log(counts[n - 1][good - 1])
+            good = np.flatnonzero(fits & (longer > 0))
+            total[good] = penalty[good] + np.log(longer[good]) - np.log(shorter[good - 1])
             open_[good] = False
-            whole[good] |= n == order
+            if n == order:
+                whole[good] = True
             penalty[open_ & (first >= n - 1)] += np.log(BACKOFF)
+            longer = shorter
         last = np.flatnonzero(open_)
-        total[last] = penalty[last] + np.log(np.maximum(counts[1][last], 0.5))
+        total[last] = penalty[last] + np.log(np.maximum(longer[last], 0.5))
         sums = [np.bincount(doc, x, len(sizes)) for x in (whole, total, open_)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.int64))], names=schema_names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.int64))], names=names)
 
     return run
 
 
-def _answer(b: bytes) -> np.ndarray:
-    return _unpack(b, np.int64)
-
-
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """key, n_words, n_known (n-grams of the full order that other documents have), log_score (natural, per word), for each row.
 
     Words are split at ASCII white space, A-Z lower-cased. The score of a word after its history is the count of both
     over the count of the history; where other documents don't have the n-gram, BACKOFF times the score after a
     history shorter by one word; at last its count over the words of all other documents, an unknown word counting
-    0.5. Texts that are null or have no words score null. Rows that repeat are documents of their own, so exact copies
-    know each other. Memory: a chunk, or a hash partition, at a time.
+    0.5. Texts that are null or have no words score null; rows of a null key are scored like others. Rows that repeat,
+    also a whole table read twice, are documents of their own, so exact copies know each other. Keys are integers; other
+    types are refused. Extra columns are not read. Memory: a chunk, or a range of hashes, at a time, however long words
+    are; a document of more words than a chunk has is one chunk.
     """
     if order < 2:
         raise ValueError("order is at least 2")
-    size = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    bits = max(4, min(20, (max(1, size // PARTITION_BYTES) - 1).bit_length()))
-    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
-    asked = source.mapInArrow(lean(_requests(order, bits)), ROW)
-    answered = asked.repartition("dest").sortWithinPartitions("dest").mapInArrow(lean(_answers), ROW)
+    source = stable(docs.select(integral(docs, key).alias("_id"), F.col(text).cast("string").alias("_text")))
+    size = source.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
+    bits = max(2, (max(1, size // PARTITION_BYTES) - 1).bit_length())
+    exploded = source.mapInArrow(lean(_explode(order, bits)), ROW_SQL)
+    counted = exploded.repartitionById(1 << bits, F.col("dest")).sortWithinPartitions("n").mapInArrow(lean(_count_and_join), ROW_SQL)
     names = ["_id", "n_words", "n_known", "part_score", "n_last"]
-    rows = answered.repartition("chunk").sortWithinPartitions("chunk", "n", "part")
-    scored = cut(rows.mapInArrow(lean(_scores(order, names)), "_id long, n_words long, n_known long, part_score double, n_last long"))
+    scored = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_score(order, names)), "_id long, n_words long, n_known long, part_score double, n_last long")
+    scored = cut(scored)
     words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
     rest = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double")
     score = F.round((F.col("part_score") - F.col("n_last") * F.log(rest)) / F.col("n_words"), 4)
@@ -220,26 +262,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
 
 
 def oracle() -> str:
-    """DuckDB SQL for score_documents(documents) at order 2."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
-t AS (SELECT rid, unnest(w) AS b, unnest(list_prepend(NULL, w[:-2])) AS a FROM d WHERE len(w) > 0),
-u AS (SELECT b, count(*) AS n FROM t GROUP BY b), ud AS (SELECT rid, b, count(*) AS n FROM t GROUP BY rid, b),
-p AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b), pd AS (SELECT rid, a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY rid, a, b),
-total AS (SELECT count(*) AS n FROM t),
-own AS (SELECT rid, count(*) AS n FROM t GROUP BY rid),
-s AS (SELECT t.rid, t.a, coalesce(p.n - pd.n, 0) AS c2, ua.n - uda.n AS c1, u.n - ud.n AS c0, greatest((SELECT n FROM total) - own.n, 1) AS rest
-  FROM t JOIN own USING (rid) JOIN u ON u.b = t.b JOIN ud ON ud.rid = t.rid AND ud.b = t.b
-  LEFT JOIN p ON p.a = t.a AND p.b = t.b LEFT JOIN pd ON pd.rid = t.rid AND pd.a = t.a AND pd.b = t.b
-  LEFT JOIN u ua ON ua.b = t.a LEFT JOIN ud uda ON uda.rid = t.rid AND uda.b = t.a),
-r AS (SELECT rid, count(*)::BIGINT AS n_words, sum((c2 > 0)::BIGINT)::BIGINT AS n_known,
-  round(sum(CASE WHEN c2 > 0 THEN ln(c2) - ln(c1) ELSE CASE WHEN a IS NULL THEN 0 ELSE ln({BACKOFF}) END + ln(greatest(c0, 0.5)) - ln(rest) END) / count(*), 4) AS log_score FROM s GROUP BY rid)
-SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_known, 0)::BIGINT AS n_known, log_score FROM d LEFT JOIN r USING (rid)"""
-
-
-def oracle_of_order_3() -> str:
-    """DuckDB SQL for score_documents(documents, order=3)."""
+    """DuckDB SQL for score_documents(documents)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),

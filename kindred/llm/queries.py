@@ -34,10 +34,6 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents"))
 
 
-def op3_lm_score_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(_table(spark, sf_dir, "documents"), order=3)
-
-
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -75,7 +71,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_pii": op2_pii,
     "op3_lm_score": op3_lm_score,
-    "op3_lm_score_order3": op3_lm_score_order3,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
@@ -86,7 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_lm_score": lm_score.oracle(),
-    "op3_lm_score_order3": lm_score.oracle_of_order_3(),
     "op4_secrets": secrets.oracle(),
     "op6_url_filter": url_filter.oracle(),
     "op7_embedding_links": embedding_links.oracle(),

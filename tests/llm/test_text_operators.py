@@ -7,8 +7,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from kindred.llm import lm_score, pii, quality, secrets, url_filter
+from kindred.llm import lm_score, pii, quality, queries, secrets, url_filter
 
 from ..conftest import SMALL
 
@@ -132,3 +133,22 @@ def test_backoff(docs, monkeypatch, order):
         assert got[i]["n_words"] == len(w)
         assert got[i]["log_score"] is None if not w else got[i]["log_score"] == pytest.approx(s / len(w), abs=1e-4)
     assert lm_score.score_documents(docs([])).count() == 0
+
+
+def test_query_sees_orders_of_three(spark, docs, tmp_path):
+    """Known pairs of words in an unknown order of three back off."""
+    texts = ["x a b y", "z b c w", "a b c", "u a b y", "one", "", None]
+    docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    known = {r["doc_id"]: r["n_known"] for r in queries.QUERIES["op3_lm_score"](spark, str(tmp_path)).collect()}
+    assert known[2] == 0 and known[0] == known[3] == 1 and known[4] == known[5] == known[6] == 0
+
+
+def test_backoff_of_tables_read_twice(spark, docs, tmp_path):
+    """Equal partitions are chunks of their own, also after a shuffle; long words are hashed, not kept."""
+    docs([(i, f"a b c {i % 3} d") for i in range(20)] + [(50, "w" * 1_000_000 + " a b")]).coalesce(1).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    for twice in (d.union(d), d.union(d).repartition(3)):
+        got = lm_score.score_documents(twice).collect()
+        assert len(got) == 42 and all(r["n_known"] == r["n_words"] - 2 for r in got)
+    with pytest.raises(TypeError):
+        lm_score.score_documents(d.withColumn("doc_id", F.lit("x")))
