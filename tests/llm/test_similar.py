@@ -113,7 +113,7 @@ def test_leaks(spark, docs):
     words = ["the", "onhahest", "eri", "ti", "é", "中文", "of", "a", "b"]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
     items = [(i, text(rng.randint(1, 20))) for i in range(40)] + [(100, None), (101, ""), (102, "abc")]
-    rows = [(1000, None), (1001, ""), (1002, "zabcz"), (1003, "q " * 100_000 + items[3][1])]
+    rows = [(1000, None), (1001, ""), (1002, "zabcz"), (1004, "z ABC z"), (1003, "q " * 100_000 + items[3][1])]
     for i in range(60):
         s = list(rng.choice(items[:40])[1])
         for _ in range(rng.randint(0, max(1, int(len(s) * 0.13)))):
@@ -130,11 +130,47 @@ def test_leaks(spark, docs):
     for i, t in rows:
         for j, b in items:
             t_, b_ = C.normal(t), C.normal(b)
-            if b_ and (b_ in t_ or len(b_) >= C.Q and len(t_) < 2000 and edit_distance_within(b_, t_) <= C.budget(len(b_))):
+            if b_ and ((f" {b_} " in f" {t_} " if len(b_) < C.Q else b_ in t_) or len(b_) >= C.Q and len(t_) < 2000 and edit_distance_within(b_, t_) <= C.budget(len(b_))):
                 want.add((i, j))
     got = {(r["doc_id"], r["item_id"]) for r in C.find_leaks(docs(rows).withColumnRenamed("n_chars", "start"), bench).collect()}
     assert {x for x in got if x[0] != 1003} == {x for x in want if x[0] != 1003} and (1003, 3) in got
     blocks = C.find_leaks(docs(rows), bench, block_chars=300)
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == got
     assert {r["doc_id"] for r in C.decontaminate(docs(rows), bench).collect()} == {i for i, _ in rows} - {i for i, _ in got}
+    assert {r["doc_id"] for r in C.decontaminate(docs(rows), bench, block_chars=300).collect()} == {i for i, _ in rows} - {i for i, _ in got}
     assert C.find_leaks(docs([]), bench).count() == 0 and C.find_leaks(docs(rows), bench.where("false")).count() == 0
+    named = bench.selectExpr("concat('b', item_id) AS name", "text AS body")
+    other = C.find_leaks(docs(rows).withColumnRenamed("doc_id", "_text"), named, key="_text", item="name", item_text="body").collect()
+    assert {(r["_text"], r["item_id"]) for r in other} == {(i, f"b{j}") for i, j in got}
+    nameless = docs([(None, "x " + items[3][1]), (None, "clean"), (None, None), (5, "")])
+    assert sorted(map(str, C.decontaminate(nameless, bench).select("doc_id", "text").collect())) == sorted(["Row(doc_id=None, text='clean')", "Row(doc_id=None, text=None)", "Row(doc_id=5, text='')"])
+
+
+def test_dense_texts_as_others():
+    """Repeated q-grams: the way of dense texts finds what the way of others finds, in windows too."""
+    rng = random.Random(8)
+    items = ["-" * 60, "ab" * 40, "-" * 30 + " end of the rule " + "-" * 30, "one line of words and then " + "=" * 40]
+    texts = ["-" * 500, "ab" * 300 + "x", "x".join("-" * rng.randint(20, 70) for _ in range(40)), "=" * 100 + " one line of words and then " + "=" * 39 + "-" * 200, "plain words only here"]
+    texts += ["".join(rng.choice(["-" * 28, "ab" * 20, " end of the rule ", "=" * 39, "one line of words and then ", "x"]) for _ in range(12)) for _ in range(60)]
+    index = C.Index(list(enumerate(items)), C.RATE)
+    want = index.matches(texts)
+    assert len(want) > 40
+    for hits, step in ((0, 400_000), (0, 10), (1_000_000, 10)):
+        old = C.HITS, C.STEP
+        try:
+            C.HITS, C.STEP = hits, step
+            got = index.matches(texts)
+        finally:
+            C.HITS, C.STEP = old
+        assert got == want
+
+
+def test_a_million_dashes_in_bounded_memory():
+    import tracemalloc
+
+    index = C.Index([(1, "-" * 120), (2, "-" * 119 + "x")], C.RATE)
+    tracemalloc.start()
+    got = index.matches(["-" * 1_000_000, "-" * 100 + "y" + "-" * 100])
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert (0, 0, 0, 120, 0) in got and [r[:2] for r in got] == [(0, 0), (0, 1), (1, 0), (1, 1)]
