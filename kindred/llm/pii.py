@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, cut
+from .common import let as _let
 
 #: Titles by gender (fixed list); x is either.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"], "x": ["Dr", "Prof"]}
@@ -32,8 +33,9 @@ INITIALS = "".join(sorted({n[0] for ns in (*TITLES.values(), *GIVEN.values()) fo
 NAMED = "|".join(n for ns in GIVEN.values() for n in ns)
 TITLED = "|".join(t for ts in TITLES.values() for t in ts)
 PATTERNS = {
-    # tried only where a local part, or what a match has left of it, begins, and never again within it
-    "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}++" r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # tried only where a local part, or what a match has left of it, begins, and never again within it; lengths are those
+    # that addresses may have at most: a repeated group takes the matcher's stack at each turn, so it has to be bounded
+    "email": rf"(?:(?<!{LOCAL})|\G){LOCAL}{{1,64}}+" r"@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?![A-Za-z])",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
@@ -65,11 +67,6 @@ def _chars(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), the value computed once: expressions would be copied wherever they are used, and plans grow with that."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 #: All alphabets in a row, and for each of their characters where its alphabet begins and how long it is.
 CHARACTERS = "".join(ALPHABETS)
 BEGINS = [CHARACTERS.index(a) for a in ALPHABETS for _ in a]
