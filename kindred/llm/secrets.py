@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency (operator 4), in DataFrame functions only.
 
 Spans of three base kinds are found in every whole text. Beyond them, long mixed tokens are candidates too. All
-candidate values are hashed and counted over the corpus by distinct repository and owner: a value that several
-owners have is a widely copied example, one that a single owner has looks live. Mixed tokens that look live
-are added to the spans.
+candidate values are hashed and counted over the corpus by distinct repository and owner: a value that several owners
+have, or that goes through many repositories of few owners, is a widely copied example; one that stays with one or two
+owners and a few repositories looks live. Mixed tokens that look live are added to the spans.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 
 def any_case(word: str) -> str:
@@ -28,8 +28,8 @@ BASE = {
 }
 #: The method's own candidates: 20 and more characters with at least one digit, one upper-case and one lower-case letter.
 MIXED = r"[A-Za-z0-9+/_-]{20,}"
-#: A value that so many owners have is an example.
-EXAMPLE_OWNERS = 3
+#: A value that so many owners have, or so many repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 6
 #: Spans are summed up in blocks of so many, which keeps a text with n of them at about n * BLOCK steps.
 BLOCK = 64
 
@@ -70,11 +70,13 @@ def _tagged(kind: str, order: int):
 
 
 def scan(docs: DataFrame, text: str = "text", repository: str = "lang", owner: str = "source", key: str = "doc_id") -> DataFrame:
-    """key, n_assign, n_access, n_hex, base_spans, spans, base_sha256, n_example, n_live: one row per row of docs.
+    """key, n_assign, n_access, n_hex, base_spans, base_sha256, spans, n_live, n_example, n_owners, n_repositories: one row per row of docs.
 
-    Null texts are empty: no spans. A repository counts within its owner; a null repository or owner is a value of
-    its own. Repeated rows each get a row and count once. Other columns are not read. Texts never leave the scan:
-    what is shuffled are candidate hashes, first reduced to distinct (value, owner, repository).
+    n_owners and n_repositories are those of the document's most widespread candidate (0 without candidates). Null and
+    empty texts have no spans. A repository counts within its owner; a null repository or owner is a value of its own.
+    Repeated rows each get a row and count once; rows of a null key are scanned like others. Other columns are not
+    read, so their names can't clash. Texts never leave the scan: what is shuffled are candidate hashes, first reduced
+    to one per (value, owner, repository) and task. A value that a large share of documents has is not shuffled to one task.
     """
     kinds = [*BASE, "mixed"]
     df = docs.select(F.col(key).alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"), F.coalesce(F.col(repository).cast("string"), F.lit("\0")).alias("_repo"), F.coalesce(F.col(owner).cast("string"), F.lit("\0")).alias("_owner"))
@@ -98,32 +100,41 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "lang", owner: s
             *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
             "_base",
             "_all",
-            # rows without candidates have keys of their own, so that the join below is even
-            F.when(F.size("_all") > 0, F.sha2(F.concat_ws("\0", F.col(key).cast("string"), "_t"), 256)).otherwise(F.concat(F.lit("none "), F.col(key).cast("string"))).alias("_row"),
+            F.sha2(F.concat_ws("\0", F.col(key).cast("string"), "_t"), 256).alias("_row"),
         )
     )
     some = found.where(F.size("_all") > 0)
-    seen = some.select("_row", "_repo", "_owner", F.explode("_all").alias("s"))
-    owners = seen.select(F.col("s.hash").alias("hash"), "_owner", "_repo").distinct().groupBy("hash", "_owner").agg(F.count("*").alias("repos"))
-    owners = owners.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"))
-    ruled = seen.select("_row", "s.*").distinct().join(owners, "hash")
-    live = F.col("n_owners") < EXAMPLE_OWNERS
+    seen = some.select(F.explode("_all").alias("s"), "_owner", "_repo").groupBy(F.col("s.hash").alias("hash"), "_owner", "_repo").agg(F.count("*").alias("n"))
+    owners = seen.groupBy("hash", "_owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    owners = cut(owners.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n")))
+    unique = cut(some.groupBy("_row").agg(F.first("_all").alias("_all"), F.count("*").alias("copies")))
+    ruled = join_counted(unique.select("_row", "copies", F.explode("_all").alias("s")).select("_row", "copies", "s.*"), owners, "hash")
+    live = (F.col("owners") < EXAMPLE_OWNERS) & (F.col("repositories") < EXAMPLE_REPOSITORIES)
     rows = ruled.groupBy("_row").agg(
+        F.first("copies").alias("copies"),
         F.array_sort(F.collect_list(F.when(live & (F.col("kind") == "mixed"), F.struct("start", "order", "end", "kind", "hash")))).alias("_more"),
         F.sum(live.cast("long")).alias("n_live"),
         F.sum((~live).cast("long")).alias("n_example"),
+        F.max("owners").alias("n_owners"),
+        F.max("repositories").alias("n_repositories"),
     )
+    rows = cut(rows)
     none = F.array().cast(rows.schema["_more"].dataType)
-    out = found.join(rows, "_row", "left").withColumn("_spans", F.array_sort(F.concat("_base", F.coalesce("_more", none))))
-    return out.select(
+    zero = F.lit(0).cast("long")
+    with_some = join_counted(some, rows, "_row", "copies").withColumn("_spans", F.array_sort(F.concat("_base", "_more")))
+    without = found.where(F.size("_all") == 0).select("*", none.alias("_spans"), *[zero.alias(c) for c in ("n_live", "n_example", "n_owners", "n_repositories")])
+    columns = [
         key,
         *[f"n_{k}" for k in BASE],
         _joined(F.col("_base")).alias("base_spans"),
         F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"),
         _joined(F.col("_spans")).alias("spans"),
-        F.coalesce("n_live", F.lit(0).cast("long")).alias("n_live"),
-        F.coalesce("n_example", F.lit(0).cast("long")).alias("n_example"),
-    )
+        "n_live",
+        "n_example",
+        "n_owners",
+        "n_repositories",
+    ]
+    return with_some.select(*columns).unionByName(without.select(*columns))
 
 
 def _duck_spans(kind: str, order: int, pattern: str, least: int, group: int, more: str = "") -> str:
@@ -150,14 +161,14 @@ def oracle() -> str:
         + f""",
 base AS (SELECT * FROM assign UNION ALL SELECT * FROM access UNION ALL SELECT * FROM hex),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM mixed m WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = m.rid AND x.b < m.e AND m.b < x.e)),
-own AS (SELECT value, count(DISTINCT owner) AS n FROM cand JOIN d USING (rid) GROUP BY value),
-ruled AS (SELECT c.*, o.n < {EXAMPLE_OWNERS} AS live FROM cand c JOIN own o USING (value)),
+own AS (SELECT value, count(DISTINCT owner) AS n, count(DISTINCT owner || chr(10) || repo) AS r FROM cand JOIN d USING (rid) GROUP BY value),
+ruled AS (SELECT c.*, n, r, n < {EXAMPLE_OWNERS} AND r < {EXAMPLE_REPOSITORIES} AS live FROM cand c JOIN own o USING (value)),
 agg AS (SELECT rid, sum((kind = 'assign')::BIGINT)::BIGINT AS n_assign, sum((kind = 'access')::BIGINT)::BIGINT AS n_access, sum((kind = 'hex')::BIGINT)::BIGINT AS n_hex,
   coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) FILTER (WHERE kind <> 'mixed'), '') AS base_spans,
   coalesce(string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, ord) FILTER (WHERE kind <> 'mixed' OR live), '') AS spans,
-  sum(live::BIGINT)::BIGINT AS n_live, sum((NOT live)::BIGINT)::BIGINT AS n_example FROM ruled GROUP BY rid)
+  sum(live::BIGINT)::BIGINT AS n_live, sum((NOT live)::BIGINT)::BIGINT AS n_example, max(n) AS n_owners, max(r) AS n_repositories FROM ruled GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   coalesce(base_spans, '') AS base_spans, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_owners, 0) AS n_owners, coalesce(n_repositories, 0) AS n_repositories
 FROM d LEFT JOIN agg USING (rid)"""
     )
