@@ -2,7 +2,8 @@
 
 The model is fitted on a small labelled URL table by gradient descent from zero. Its weights stay sums of the
 examples' features, so the descent runs on one coefficient per example over the examples' kernel (shared n-grams),
-inside one SQL expression; the weights of n-gram buckets follow by an aggregation. At most EXAMPLES rows are used.
+inside one SQL expression; the weights of n-gram buckets follow by an aggregation. The table is small by contract: at
+most `examples` rows of it, a parameter, are used.
 """
 
 from __future__ import annotations
@@ -10,64 +11,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 #: Verdict, host and path of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Hash buckets, lengths of n-grams, rounds and rate of the descent, shrinkage, rows of the labelled table that are used at most.
-BUCKETS, GRAMS, ROUNDS, RATE, SHRINK, EXAMPLES = 4096, (3, 4), 120, 0.5, 0.002, 300
-#: The labelled URLs: hosts and paths of spam, adult, gambling, tracking and download traps (block) and of ordinary pages (allow).
+#: Hash buckets, lengths of n-grams, rounds and rate of the descent, shrinkage.
+BUCKETS, GRAMS, ROUNDS, RATE, SHRINK = 4096, (3, 4), 120, 0.5, 0.002
+#: Labelled URLs to start with, by kinds of pages in general; a caller passes a table of their own.
 BLOCKED = """
-http://casino-win.example.com/en/12
-https://www.casino-bonus.example.net/play
-http://m.best-casino.example.com/en/77.html
-https://free-bets.example.com/en/5#top
-http://free-bets-now.example.net/es/912
-https://www.bets-online.example.com/odds/
-http://cheap-pills.example.com/de/3.html
-https://cheap-meds.example.net/buy?x=1
-http://www.pills-shop.example.com/en/order
-https://ads-track.example.com/en/9823
-http://track.ads-serve.example.net/pixel?id=4
-https://m.ads-track.example.com/es/17/
-http://click.ads-track.example.net/fr/1?utm_source=ad
-https://adult-cams.example.com/live
-http://xxx-cams.example.net/en/2
-https://hot-singles.example.com/join
-http://free-download-crack.example.net/keygen.exe
-https://warez-crack.example.com/en/4
-http://win-prize.example.com/claim?now=1
-https://lucky-win-slots.example.net/en/31
-http://poker-slots.example.com/es/11
-https://payday-loan-fast.example.com/apply
-http://cheap-loans.example.net/en/8
-https://replica-watches-cheap.example.com/en/6
+http://royal-casino.test/lobby
+https://www.jackpot-casino.test/bonus
+http://casino.slots.test/spin
+https://poker-room.test/tables/join
+http://sports-bets.test/odds/today
+https://bets.gambling.test/free-spins
+http://lottery-winner.test/claim-prize
+https://you-win.test/prize/claim.php
+http://pills-online.test/order
+https://cheap-pharmacy.test/pills/buy
+http://meds.discount-pills.test/cart
+https://weight-loss-miracle.test/buy-now
+http://xxx-videos.test/watch
+https://adult-dating.test/join
+http://live-cams.adult.test/room
+https://singles-nearby.test/chat
+http://crack-keygen.test/download.exe
+https://warez.test/full-version-crack
+http://torrent-serials.test/keygen.zip
+https://free-download-manager.test/setup.exe
+http://ads.bannerserver.test/show?zone=4
+https://track.clickserver.test/redirect?u=1
+http://pixel.adtrack.test/p.gif
+https://popunder-ads.test/serve.js
+http://affiliate-clicks.test/go?aff=77
+https://tracking.mailer.test/open.gif
+http://payday-loans.test/apply
+https://instant-loan.test/no-credit-check
+http://cheap-replica.test/watches
+https://luxury-replica-bags.test/sale
+http://make-money-fast.test/start
+https://crypto-doubler.test/invest
+http://account-verify-login.test/secure/update
+https://bank-login-confirm.test/password
+http://get-followers.test/cheap-likes
+https://seo-backlinks.test/buy
 """.split()
 ALLOWED = """
-http://news.example.com/en/2021/05/report
-https://www.example.net/en/77.html
-http://blog.example.com/en/12/
-https://en.wiki.example.org/wiki/Prime_number
-http://m.example.net/es/2547/
-https://docs.example.com/en/guide#install
-http://city-library.example.net/en/catalogue?page=2&ref=x
-https://blog.garden.example.com/en/873
-http://weather.example.net/fr/4163
-https://www.school.example.com/de/contact
-http://theron.example.com/en/5989#top
-https://shop.example.net/en/books/12
-http://tionble.example.net/en/482/
-https://m.ththea.example.net/en/7688?utm_source=feed
-http://history.example.com/en/essays/3.html
-https://www.thering.example.com/es/1291/
-http://erhean.example.net/en/6137
-https://recipes.example.com/en/soup
-http://blog.onshia.example.com/en/7424.html
-https://music.example.net/en/scores/44
-http://ouenth.example.com/en/1837/
-https://m.reader.example.com/es/8924?utm_source=feed
-http://university.example.net/en/papers?page=3
-https://www.health.example.com/en/article/9
+http://daily-news.test/politics/report
+https://www.courier.test/business/markets
+http://weather.test/forecast/tomorrow
+https://city-library.test/catalogue
+http://museum.test/exhibitions/roman
+https://www.university.test/research/papers
+http://school.test/timetable
+https://docs.language.test/tutorial/functions
+http://wiki.test/Prime_number
+https://encyclopedia.test/article/glacier
+http://blog.garden.test/spring-planting
+https://www.recipes.test/soup/lentil
+http://health-service.test/vaccination
+https://hospital.test/visitors
+http://council.test/planning/applications
+https://parliament.test/debates
+http://railway.test/stations/map
+https://airport.test/arrivals
+http://books.test/authors/essays
+https://history.test/archive/letters
+http://music.test/scores/sonata
+https://theatre.test/season
+http://football-club.test/fixtures
+https://cycling.test/routes/alps
+http://www.travel.test/guide/lisbon
+https://hotel.test/rooms
+http://shop.test/kitchen/pans
+https://furniture.test/tables/oak
+http://forum.test/thread/compilers
+https://m.reader.test/story
+http://press.test/releases
+https://jobs.test/engineer
+http://photo.test/landscape
+https://film.test/reviews
+http://science.test/physics/optics
+https://charity.test/about
 """.split()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -78,27 +103,35 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
-def _grams(tag: str, text: Column, n: int) -> Column:
-    padded = F.concat(F.lit("^"), text, F.lit("$"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.concat(F.lit(f"{tag}{n}"), F.substring(padded, i, F.lit(n))))
-    return F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>"))
+def buckets(host: Column, path: Column) -> Column:
+    """The distinct hash buckets of the character n-grams of host and path, in time in proportion to their lengths."""
 
+    def grams(tag: str, text: Column) -> Column:
+        # characters first: a substring at a position counts from the start of the text each time
+        characters = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
 
-def buckets(host: Column, path: Column) -> Column:
-    """The distinct hash buckets of the character n-grams of host and path."""
-    grams = F.concat(*[_grams(tag, text, n) for tag, text in (("h", host), ("p", path)) for n in GRAMS])
-    return F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 3), 16, 10).cast("int")))
+        def of(c: Column, n: int) -> Column:
+            made = F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(F.lit(f"{tag}{n}"), *[F.get(c, i + k) for k in range(n)]))
+            return F.when(F.size(c) >= n, made).otherwise(F.array().cast("array<string>"))
+
+        return let(characters, lambda c: F.concat(*[of(c, n) for n in GRAMS]))
+
+    return F.array_distinct(F.transform(F.concat(grams("h", host), grams("p", path)), lambda g: F.conv(F.substring(F.md5(g), 1, 3), 16, 10).cast("int")))
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The built-in labelled table: url, blocked (1 or 0)."""
-    return spark.createDataFrame([(u, 1) for u in BLOCKED] + [(u, 0) for u in ALLOWED], "url string, blocked int")
+    rows = ", ".join(f"('{u}', {y})" for y, us in ((1, BLOCKED), (0, ALLOWED)) for u in us)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS labelled(url, blocked)")
+
 
+def fit(labelled: DataFrame, examples: int = 300) -> tuple[list[float], float]:
+    """Bucket weights and bias of the logistic regression; labelled has url and blocked, rows with nulls are left out.
 
-def fit(labelled: DataFrame) -> tuple[list[float], float]:
-    """Bucket weights and bias of the logistic regression; labelled has url and blocked, rows with nulls are left out."""
+    At most `examples` rows train it, the first by hash; time and memory grow with their square.
+    """
     host, path = host_and_path(F.col("url"))
-    rows = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").orderBy(F.md5("url"), "blocked").limit(EXAMPLES)
+    rows = labelled.where("url IS NOT NULL AND blocked IS NOT NULL").orderBy(F.md5("url"), "blocked").limit(examples)
     rows = rows.select(F.struct("url", F.col("blocked").cast("double").alias("y"), buckets(host, path).alias("f")).alias("e"))
     one = rows.agg(F.array_sort(F.collect_list("e")).alias("e"))
     share = lambda a, b: F.size(F.array_intersect(a["f"], b["f"])) / F.sqrt(F.greatest(F.size(a["f"]) * F.size(b["f"]), F.lit(1))) + 1.0
@@ -127,13 +160,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,block:int,rule:string>")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", examples: int = 300) -> DataFrame:
     """key, host, path, rule, verdict, p_block for each row of pages; a narrow job over the url column alone.
 
     Null or empty urls and those without :// have empty host and path, no rule, and the model's verdict on no n-grams
-    but the borders. Repeated rows repeat their result.
+    but the borders. Repeated rows repeat their result, null keys are kept, other columns are not read; urls may have
+    any length. labelled is the table that trains the model (url, blocked), an empty one blocks nothing.
     """
-    weights, bias = fit(labelled)
+    weights, bias = fit(labelled, examples)
     df = pages.select(F.col(key).alias(key), F.col(url).cast("string").alias("_u"))
     host, path = host_and_path(F.col("_u"))
     df = df.select(key, host.alias("host"), path.alias("path"))
