@@ -16,14 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lean, slices
+from .common import CACHED, cut, lean, slices
 
 #: Documents whose posteriors train the scorer, hash buckets of its features, rounds of its training and of the estimation.
 TRAIN, BUCKETS, ROUNDS, EM_ROUNDS = 6000, 1 << 12, 200, 60
 #: A document goes only if the scorer gives it less than this: when in doubt, it stays.
 KEEP = 0.3
-#: Words at which a document's features have half their weight.
-FEW = 8
+#: Words at which a document's features have half their weight; words of a stretch in which distinct ones are counted.
+FEW, STRETCH = 8, 1000
 #: Pull of the scorer's weights to zero.
 SHRINK = 1e-6
 #: Frequent function words (fixed list): English, German, French, Spanish.
@@ -51,21 +51,38 @@ def shape(word: bytes) -> bytes:
     """Runs of capitals, small letters and digits as X, x and 9; other characters as they are, runs of one shortened to two."""
     for pattern, to in SHAPES:
         word = pattern.sub(to, word)
-    return re.sub(rb"(.)\1\1+", rb"\1\1", word)[:16]
+    return re.sub(rb"(.)\1\1+", rb"\1\1", word)
 
 
 class Words(dict):
-    """word -> 64 bits: hash of the word, below it the bucket of its shape (12 bits), a stop word (1) and a trailing symbol (1)."""
+    """word -> 64 bits: hash of the word, below it the bucket of its shape (12 bits), a stop word (1) and a trailing symbol (1).
+
+    Long words are not kept, so memory is bounded.
+    """
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         flags = (word.lower() in STOPS) << 1 | (not ORDINARY[word[-1]])
-        self[word] = value = h >> 14 << 14 | xxhash.xxh3_64_intdigest(shape(word)) % BUCKETS << 2 | flags
+        value = h >> 14 << 14 | xxhash.xxh3_64_intdigest(shape(word)) % BUCKETS << 2 | flags
+        if len(word) <= CACHED:
+            if len(self) >= 300_000:
+                self.clear()
+            self[word] = value
         return value
 
 
+def distinct(words: np.ndarray) -> float:
+    """Share of distinct words in stretches of equal length, the mean over a text, so that it doesn't fall with the text's length."""
+    n = len(words)
+    if n <= STRETCH:
+        return len(np.unique(words)) / n
+    rows = np.sort(words[: n - n % STRETCH].reshape(-1, STRETCH), axis=1)
+    counts = (1 + (rows[:, 1:] != rows[:, :-1]).sum(1)).tolist()
+    if n % STRETCH:
+        counts.append(len(np.unique(words[-STRETCH:])))
+    return sum(counts) / len(counts) / STRETCH
+
+
 def shares(raw: bytes, words: np.ndarray) -> dict[str, float]:
     """What the labellers look at, of a document with words."""
     n, seen = len(words), np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
@@ -77,7 +94,7 @@ def shares(raw: bytes, words: np.ndarray) -> dict[str, float]:
         "exclamations": seen[33] / n,
         "capitals": upper / max(1, letters) if letters >= 10 else 0.3,
         "repeats": float((ident[1:] == ident[:-1]).sum()) / max(1, n - 1),
-        "distinct": len(np.unique(ident)) / n if 40 <= n <= 2000 else 0.3,
+        "distinct": distinct(ident) if n >= 40 else 0.3,
         "stops": float((words >> np.uint64(1) & np.uint64(1)).sum()) / n if n >= 20 else 0.05,
         "sentences": (seen[46] + seen[63]) / n if n >= 20 else 0.01,
     }
@@ -102,9 +119,9 @@ def features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return b, np.sqrt(n / n.sum()) * len(words) / (len(words) + FEW)  # a few words are little evidence
 
 
-def documents(batches, columns: tuple[str, ...]):
+def documents(batches, columns: tuple[str, ...], cache: Words | None = None):
     """Batches of columns and _text -> (other values, bytes, word integers) a document."""
-    cache = Words()
+    cache = Words() if cache is None else cache
     for values in slices(batches, (*columns, "_text"), "_text", 1_000_000):
         for *rest, text in zip(*values, strict=True):
             raw = (text or "").encode("utf-8", "surrogatepass")
@@ -153,17 +170,21 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.ndarray,
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> tuple[np.ndarray, float]:
-    """Weights and bias of the scorer. Votes of all rows enter the estimates; at most train_rows keys, the first by hash, train it.
+    """Weights and bias of the scorer. Votes of all rows enter the estimates; at most train_rows documents train it.
 
-    The driver holds pattern counts and that sample's features, both bounded.
+    These are the first by hash among distinct (key, text) with a key, so repeated rows train once. The driver holds
+    pattern counts (3 ** LABELLERS at most) and that sample's features, both bounded.
     """
-    source = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
+    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).withColumn("_h", F.xxhash64("_text"))
     zero = "".join("2" for _ in LABELLERS)
 
+    def voted(raw, words):
+        return "".join(map(str, votes(shares(raw, words)))) if len(words) else zero
+
     def vote(batches):
         seen: dict[str, int] = {}
         for _, raw, words in documents(batches, ()):
-            v = "".join(map(str, votes(shares(raw, words)))) if len(words) else zero
+            v = voted(raw, words)
             seen[v] = seen.get(v, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
 
@@ -173,23 +194,23 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: in
     post = {r["votes"]: float(p) for r, p in zip(counted, posterior, strict=False)}
 
     def featured(batches):
-        for _, raw, words in documents(batches, ()):
+        for (row,), raw, words in documents(batches, ("_row",)):
             if len(words):
                 b, w = features(words)
-                v = "".join(map(str, votes(shares(raw, words))))
-                yield pa.RecordBatch.from_arrays([pa.array([v]), pa.array([b.astype(np.int32)], pa.list_(pa.int32())), pa.array([w.astype(np.float32)], pa.list_(pa.float32()))], names=["votes", "b", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([voted(raw, words)]), pa.array([b.astype(np.int32)], pa.list_(pa.int32())), pa.array([w.astype(np.float32)], pa.list_(pa.float32()))], names=["row", "votes", "b", "w"])
 
-    chosen = cut(docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(train_rows))
-    sample = source.join(F.broadcast(chosen), key, "left_semi").select("_text").mapInArrow(lean(featured), "votes string, b array<int>, w array<float>").toArrow()
-    sample = sample.slice(0, 2 * train_rows)  # repeated rows of a key count twice at most
+    row = F.xxhash64("_key", "_h")
+    chosen = cut(source.where(F.col("_key").isNotNull()).select("_key", "_h").distinct().orderBy(row, "_key", "_h").limit(train_rows))
+    sample = source.join(F.broadcast(chosen), ["_key", "_h"], "left_semi").select(row.alias("_row"), "_text").mapInArrow(lean(featured), "row long, votes string, b array<int>, w array<float>")
+    sample = sample.groupBy("row").agg(F.first(F.struct("votes", "b", "w")).alias("x")).select("x.*").toArrow()  # train_rows rows at most
     rows = [(b.values.to_numpy(), w.values.to_numpy().astype(np.float64), post.get(v.as_py(), prior)) for v, b, w in zip(sample["votes"], sample["b"], sample["w"], strict=True)]
     return train(sorted(rows, key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes())))
 
 
-def scores(texts: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarray:
-    """Scores of a batch's _text column; 0 without words."""
+def scores(texts: pa.Array, weights: np.ndarray, bias: float, cache: Words) -> np.ndarray:
+    """Scores of a column of texts; 0 without words."""
     out = []
-    for _, _, words in documents([texts], ()):
+    for _, _, words in documents([pa.RecordBatch.from_arrays([texts.cast(pa.string())], names=["_text"])], (), cache):
         b, w = features(words) if len(words) else ([], [])
         out.append(1 / (1 + np.exp(-np.clip(weights[b] @ w + bias, -50, 50))) if len(words) else 0.0)
     return np.array(out)
@@ -198,27 +219,30 @@ def scores(texts: pa.RecordBatch, weights: np.ndarray, bias: float) -> np.ndarra
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> DataFrame:
     """key, score (of the linear scorer, between 0 and 1, rounded), kept (score >= KEEP), for each row of docs.
 
-    Null texts and texts without words have score 0 and are not kept. Repeated rows repeat their result.
+    Null and empty texts and texts without words have score 0 and are not kept. Whole texts of any length are judged;
+    repeated rows repeat their result, rows of a null key are judged like others but don't train the scorer. Keys may
+    have any type that can be grouped. Other columns are not read, so their names can't clash. An empty table gives none.
     """
     weights, bias = fit(docs, key, text, train_rows)
     kind = dict(docs.dtypes)[key]
 
     def judge(batches):
+        cache = Words()
         for batch in batches:
-            score = scores(batch, weights, bias)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.round(score, 4), pa.float64()), pa.array(score >= KEEP, pa.bool_())], names=[key, "score", "kept"])
+            score = scores(batch.column("_text"), weights, bias, cache)
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(np.round(score, 4), pa.float64()), pa.array(score >= KEEP, pa.bool_())], names=[key, "score", "kept"])
 
-    source = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("_text"))
+    source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     return source.mapInArrow(lean(judge), f"`{key}` {kind}, score double, kept boolean")
 
 
 def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all columns; rows are judged where they are read."""
+    """The rows of docs that the classifier keeps (see classify), with all columns; rows are judged where they are read."""
     weights, bias = fit(docs, key, text, train_rows)
 
     def judge(batches):
+        cache = Words()
         for batch in batches:
-            kept = scores(pa.RecordBatch.from_arrays([batch.column(text)], names=["_text"]), weights, bias) >= KEEP
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            yield batch.filter(pa.array(scores(batch.column(text), weights, bias, cache) >= KEEP, pa.bool_()))
 
     return docs.mapInArrow(lean(judge), docs.schema)
