@@ -1,11 +1,18 @@
 """MinHash near-duplicates by a chosen-path set similarity join (operator 8).
 
 A document's set is its distinct 5-word shingles. Copies (equal sets) first become one class. TREES independent trees
-then branch the classes: on each level a node splits by a minwise token (the shingle that is least under the hash
-function of that tree and level), and a node that is small enough is compared exhaustively. A pair of similarity s is
-together in a leaf of depth d of one tree with probability s**d, so all trees miss it with (1 - s**d)**TREES: at 0.75
-some 2e-10, 2e-6 and 2e-4 for depths 1 to 3. Nodes that are large even then are compared in blocks, which misses
-nothing. Signatures only select who is compared; every link is confirmed on full sets.
+then branch the classes: each node selects one or two of a class's minwise tokens (4/3 on average, 1 over the threshold),
+and for each of them the class goes to a child that the token names. A node that is small enough is compared
+exhaustively, any other branches again. At the threshold 0.75 a pair has one common child per node on average, and is
+still together at depth d of a tree with probability q(d), where q(0) = 1 and q(d + 1) = q - 3/16 q^2: 0.81, 0.69, 0.60,
+... 0.32 at depth 10. All trees miss it with (1 - q(d)) ** TREES: 7e-11, 8e-8, 3e-6 at depths 1 to 3, 4e-3 at depth 10.
+
+Nodes that do not get smaller by branching, or are large at the greatest depth, hold sets that are much alike. They are
+compared in two rounds that miss nothing. First in chunks, each with the node's smallest class beside its own members:
+this is linear work, and joins what is like that class. Then every pair of the node that the links found so far have
+not joined yet: a group that one component covers costs nothing more.
+
+Signatures only select who is compared; every link is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -17,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WordHashes, connected_components, cut, lean, mix, ngram_hashes, only_ids, slices, word_hashes
+from .common import BROADCAST_IDS, WordHashes, connected_components, cut, integral, join_counted, lean, mix, ngram_hashes, only_ids, slices, word_hashes
 
-WORDS, TREES, LEVELS = 5, 16, 3
-#: Classes in a node that are compared exhaustively; above it the node splits further.
-NODE = 400
-#: Least share of equal signature positions for a pair to be confirmed: 4.8 standard deviations below 0.75 at 48 positions.
+WORDS, TREES, DEPTH = 5, 14, 10
+#: Classes in a node that are compared exhaustively; above it the node branches further, unless a child keeps more than SHRINKS of it.
+NODE, SHRINKS = 400, 0.9
+#: Share of nodes that select two tokens and not one: 4 / 3 tokens a node.
+TWO = 1 / 3
+#: Least share of equal signature positions for a pair to be confirmed: 5.5 standard deviations below 0.75 at 64 positions.
 LEAST = 0.45
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 75
-SIGNATURE = TREES * LEVELS
+#: Minwise tokens that nodes select from.
+SIGNATURE = 64
 #: Odd multipliers of the minwise hash functions, from a fixed seed.
 FACTORS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 #: Pairs whose signatures are compared at a time.
@@ -70,7 +80,7 @@ def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
                 [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], names=["_id", "n_shingles", "print", "sig"]
             )
 
-    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    source = docs.select(integral(docs, key).alias("_id"), F.col(text).cast("string").alias("_text"))
     return source.mapInArrow(lean(run), "_id long, n_shingles long, print binary, sig binary")
 
 
@@ -78,43 +88,88 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, SIGNATURE)
 
 
-def _path(sig: np.ndarray, tree: int) -> list[np.ndarray]:
-    """Node keys of one tree, by level, as 64-bit integers."""
-    key, out = np.full(len(sig), tree + 1, dtype=np.uint64), []
-    with np.errstate(over="ignore"):
-        for level in range(LEVELS):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, tree * LEVELS + level])
-            out.append(key.view(np.int64))
-    return out
+def children(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child): the nodes to which classes of these signatures go from the nodes they are in."""
+    seed = mix(node)
+    rows, out = [], []
+    position = (seed >> np.uint64(40)) % np.uint64(SIGNATURE)
+    other = (position + np.uint64(1) + (seed >> np.uint64(20)) % np.uint64(SIGNATURE - 1)) % np.uint64(SIGNATURE)
+    for selected, some in ((position, np.ones(len(node), dtype=bool)), (other, (seed & np.uint64(0xFFFFF)) < np.uint64(TWO * (1 << 20)))):
+        row = np.flatnonzero(some)
+        at = selected[row]
+        with np.errstate(over="ignore"):
+            out.append(mix(node[row] * np.uint64(0x9E3779B97F4A7C15) + (at << np.uint64(32)) + sig[row, at.astype(np.int64)]))
+        rows.append(row)
+    return np.concatenate(rows), np.concatenate(out)
 
 
-def _branches(batches):
+def _roots(batches):
+    """Rows (rep, sig) -> (rep, node, before): the children of all roots."""
     for batch in batches:
-        sig, ids = _signatures(batch.column("sig")), batch.column("rep")
+        sig = _signatures(batch.column("sig"))
         for tree in range(TREES):
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(sig), tree, np.int32)), *map(pa.array, _path(sig, tree))], names=["rep", "tree", *[f"k{i + 1}" for i in range(LEVELS)]])
+            row, node = children(sig, np.full(len(sig), tree + 1, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(node.view(np.int64)), pa.nulls(len(row), pa.int64())], names=["rep", "node", "before"])
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """(rep, tree, own, node): the nodes of at least two classes in which each class is compared.
-
-    own is the leaf, node the leaf or, where it is still too large, one of its pairs of blocks.
+def _branches(batches):
+    """Rows (rep, sig, node, n) -> (rep, node, before): the children, and how many classes the parent has."""
+    for batch in batches:
+        sig = _signatures(batch.column("sig"))
+        row, node = children(sig, batch.column("node").to_numpy().view(np.uint64))
+        row = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), pa.array(node.view(np.int64)), batch.column("n").take(row)], names=["rep", "node", "before"])
+
+
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, node) of small nodes of at least two classes, and (rep, node, n) of nodes that stay large, or None."""
+    made = classes.select("rep", "sig").mapInArrow(lean(_roots), "rep long, node long, before long")
+    small = large = None
+    for depth in range(1, DEPTH + 1):
+        sizes = cut(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+        made = cut(join_counted(made, sizes, "node"))
+        done = made.where(F.col("n") <= NODE).select("rep", "node")
+        small = done if small is None else small.unionByName(done)
+        made = made.where(F.col("n") > NODE)
+        still = F.coalesce(F.col("n") > SHRINKS * F.col("before"), F.lit(False)) | F.lit(depth == DEPTH)
+        alike = made.where(still).select("rep", "node", "n")
+        large = alike if large is None else large.unionByName(alike)
+        rest = made.where(~still).select("rep", "node", "n")
+        if not rest.limit(1).count():
+            break
+        rest = rest.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "node", "n")
+        made = rest.mapInArrow(lean(_branches), "rep long, node long, before long")
+    return small, large if large.limit(1).count() else None
+
+
+def chunks(large: DataFrame) -> DataFrame:
+    """(rep, node, own): large nodes in chunks of about NODE classes, the smallest class of each beside the others."""
+    first = cut(large.groupBy("node").agg(F.min("rep").alias("first"), F.first("n").alias("n")))
+    number = lambda n: F.ceil(n / NODE).cast("int")
+    name = lambda node, chunk: F.xxhash64(node, chunk)
+    members = join_counted(large.drop("n"), first, "node").where("rep <> first")
+    members = members.select("rep", name(F.col("node"), F.pmod(F.xxhash64("rep"), number(F.col("n"))).cast("int")).alias("at"), F.col("node").alias("own"))
+    ahead = first.select(F.col("first").alias("rep"), F.explode(F.sequence(F.lit(0), number(F.col("n")) - 1)).alias("chunk"), "node")
+    return members.unionByName(ahead.select("rep", name(F.col("node"), F.col("chunk")).alias("at"), F.col("node").alias("own"))).withColumnRenamed("at", "node")
+
+
+def blocks(large: DataFrame, components: DataFrame) -> DataFrame:
+    """(rep, node, own, component): large nodes in pairs of blocks, but for those in which one component is alone.
+
+    The largest component of a node has blocks of its own, which meet the others' blocks only.
     """
-    keys = classes.select("rep", "sig").mapInArrow(lean(_branches), "rep long, tree int, " + ", ".join(f"k{i + 1} long" for i in range(LEVELS)))
-    out, rest = None, keys
-    for level in range(1, LEVELS + 1):
-        k = f"k{level}"
-        sizes = rest.groupBy(k).agg(F.count("*").alias("n")).where("n > 1")
-        rest = rest.join(sizes, k)
-        rest = cut(rest) if level == 1 else rest
-        done = rest.where(F.col("n") <= NODE).select("rep", "tree", F.col(k).alias("own"), F.col(k).alias("node"))
-        out = done if out is None else out.union(done)
-        rest = rest.where(F.col("n") > NODE)
-        rest = rest if level == LEVELS else rest.drop("n")
-    blocks = F.ceil(F.col("n") * 2 / NODE).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rest = rest.select("rep", "tree", F.col(k).alias("own"), mine.alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    return out.union(rest.select("rep", "tree", "own", F.xxhash64("own", F.least("b", "other"), F.greatest("b", "other")).alias("node")))
+    found = large.join(components.select(F.col("id").alias("rep"), F.col("component_id")), "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
+    found = cut(found)
+    sizes = found.groupBy("node", "component").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("node").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"))
+    sizes = cut(sizes.select("node", "n", F.col("main.component").alias("main"), F.col("main.c").alias("c")).where("n > c"))
+    rows = join_counted(found.drop("n"), sizes, "node")
+    half = F.lit(NODE / 2)
+    rows = rows.withColumn("others", F.ceil((F.col("n") - F.col("c")) / half).cast("int")).withColumn("mains", F.ceil(F.col("c") / half).cast("int"))
+    mine = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.pmod(F.xxhash64("rep"), "others")).cast("int")
+    last = F.when(F.col("component") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    rows = rows.withColumn("b", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    return rows.select("rep", F.xxhash64("node", F.least("b", "other"), F.greatest("b", "other")).alias("at"), F.col("node").alias("own"), "component").withColumnRenamed("at", "node")
 
 
 def grouped(batches, column: str = "node"):
@@ -153,32 +208,36 @@ def _pairs(node: np.ndarray):
 
 
 def _likely(table: pa.Table):
-    """(i, j, likeness) of the rows that a table of leaves has to confirm: alike enough, and in no earlier tree's leaf together."""
+    """(i, j, likeness) of the rows that a table of nodes has to confirm: alike enough, not joined yet, and not together in a leaf that comes before."""
     sig = _signatures(table.column("sig").combine_chunks())
     size = table.column("n_shingles").to_numpy()
-    tree = table.column("tree").to_numpy()
-    own = np.zeros((len(sig), TREES), dtype=np.int64)
+    own = table.column("own").to_numpy()
+    component = table.column("component").to_numpy()
     lists = table.column("leaves").combine_chunks()
-    fields = lists.flatten()
-    rows = np.repeat(np.arange(len(sig)), np.diff(lists.offsets.to_numpy()))
-    own[rows, fields.field("tree").to_numpy()] = fields.field("own").to_numpy()
-    before = np.arange(TREES)
+    n = np.diff(lists.offsets.to_numpy())
+    leaf = np.full((len(sig), max(1, n.max(initial=0))), np.iinfo(np.int64).max)
+    leaf[np.repeat(np.arange(len(sig)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
     for i, j in _pairs(table.column("node").to_numpy()):
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-        keep = small * 100 >= large * PERCENT
+        keep = (small * 100 >= large * PERCENT) & (component[i] != component[j])
         i, j = i[keep], j[keep]
         like = (sig[i] == sig[j]).mean(axis=1)
         keep = like >= LEAST
         i, j, like = i[keep], j[keep], like[keep]
-        earlier = ((own[i] == own[j]) & (own[i] != 0) & (before < tree[i][:, None])).any(axis=1)
-        yield i[~earlier], j[~earlier], like[~earlier]
+        step = max(1, 50 * PAIRS // leaf.shape[1] ** 2)
+        for at in range(0, len(i), step):  # of the leaves that both are in, the least compares them
+            s = slice(at, at + step)
+            x, y = leaf[i[s]], leaf[j[s]]
+            both = (x[:, :, None] == y[:, None, :]) & (x < own[i[s]][:, None])[:, :, None]
+            first = ~both.any(axis=(1, 2))
+            yield i[s][first], j[s][first], like[s][first]
 
 
-LEAF = "rep long, tree int, node long, n_shingles long, sig binary, leaves array<struct<tree:int,own:long>>"
+NODES = "rep long, node long, own long, component long, n_shingles long, sig binary, leaves array<long>"
 
 
 def _select(batches):
-    """Rows of leaves that take part in a pair to be confirmed there."""
+    """Rows of nodes that take part in a pair to be confirmed there."""
     for table in grouped(batches):
         used = np.zeros(len(table), dtype=bool)
         for i, j, _ in _likely(table):
@@ -188,7 +247,7 @@ def _select(batches):
 
 
 def _confirm(batches):
-    """Links of each leaf, confirmed on full sets; pairs that confirmed links join already are skipped, so links stay linear in the rows."""
+    """Links of each node, confirmed on full sets; pairs that confirmed links join already are skipped, so links stay linear in the rows."""
     for table in grouped(batches):
         reps, sets = table.column("rep").to_numpy(), table.column("set")
         full: dict[int, np.ndarray] = {}
@@ -226,33 +285,59 @@ def _confirm(batches):
 
 def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): confirmed links between classes that span the components; classes has rep, n_shingles, sig."""
-    found = cut(leaves(classes))
-    lists = found.select("rep", "tree", "own").distinct().groupBy("rep").agg(F.collect_list(F.struct("tree", "own")).alias("leaves"))
-    rows = found.select("rep", "tree", "node").join(lists, "rep").join(classes.select("rep", "n_shingles", "sig"), "rep")
-    rows = rows.select("rep", "tree", "node", "n_shingles", "sig", "leaves").repartition("node").sortWithinPartitions("node")
-    chosen = cut(rows.mapInArrow(lean(_select), LEAF))
+    source = docs.select(integral(docs, key).alias("_id"), F.col(text).cast("string").alias("_text"))
+    small, large = leaves(classes)
+    alone = F.col("rep").alias("component")  # no two joined yet
+    rows = small.select("rep", "node", F.col("node").alias("own"), alone)
+    if large is not None:
+        # a leaf compares all its pairs, a chunk doesn't: pairs of a chunk are left to leaves, whatever the leaf's name
+        rows = rows.unionByName(chunks(large).select("rep", "node", F.lit(np.iinfo(np.int64).max).alias("own"), alone))
+    found = cut(_links(source, classes, rows, small))
+    if large is not None:
+        rows = blocks(large, connected_components(found))
+        more = _links(source, classes, rows, small.unionByName(large.select("rep", "node")))
+        found = found.unionByName(more)
+    return found
+
+
+def _links(source: DataFrame, classes: DataFrame, rows: DataFrame, compared: DataFrame) -> DataFrame:
+    """(a, b) of rows (rep, node, own, component): pairs within a node; compared has the leaves (rep, node) that are compared whole."""
+    lists = compared.groupBy("rep").agg(F.collect_set("node").alias("leaves"))
+    rows = rows.join(lists, "rep", "left").withColumn("leaves", F.coalesce("leaves", F.array().cast("array<bigint>")))
+    rows = rows.join(classes.select("rep", "n_shingles", "sig"), "rep")
+    rows = rows.select("rep", "node", "own", "component", "n_shingles", "sig", "leaves").repartition("node").sortWithinPartitions("node")
+    chosen = cut(rows.mapInArrow(lean(_select), NODES))
     wanted = cut(chosen.select(F.col("rep").alias("_id")).distinct())
 
     def sets(batches):
         for ids, words in _words(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingle_hashes(w).tobytes() for w in words], pa.binary())], names=["rep", "set"])
 
-    source = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
     full = only_ids(source, wanted, "_id").mapInArrow(lean(sets), "rep long, set binary")
-    rows = chosen.join(full.hint("merge"), "rep").select("rep", "tree", "node", "n_shingles", "sig", "leaves", "set").repartition("node").sortWithinPartitions("node")
+    rows = chosen.join(full.hint("merge"), "rep").select("rep", "node", "own", "component", "n_shingles", "sig", "leaves", "set").repartition("node").sortWithinPartitions("node")
     return rows.mapInArrow(lean(_confirm), "a long, b long")
 
 
+def _own_texts(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): a key and the class of each of its texts, where it has several."""
+    full = drawn.where("print IS NOT NULL AND _id IS NOT NULL")
+    h = F.xxhash64("print")
+    several = cut(full.groupBy("_id").agg(F.min(h).alias("low"), F.max(h).alias("high")).where("low <> high").select("_id"))
+    return only_ids(full.select("_id", "print"), several, "_id").distinct().join(classes.select("print", "rep"), "print").select(F.col("_id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable over links), kept (key = component_id), for each row of docs.
 
-    Documents without words have empty sets and link with nothing. Rows of a null key link with nothing, have a null
-    component and are kept. Rows that repeat a key count as one document. Copies of a third of the corpus are one
-    class, found by a partial aggregation; all other work sees a class once.
+    Null and empty texts and texts without words have empty sets and link with nothing. Rows of a null key link with
+    nothing, have a null component and are kept. Rows that repeat a key are one document, also if their texts differ:
+    its links are those of all its texts, n_shingles is each row's own. Keys are integers, other types are refused.
+    Texts of any length are read whole; other columns are not read, so their names can't clash; an empty table gives
+    none. Copies of a third of the corpus are one class, found by a partial aggregation; all other work sees a class once.
     """
     drawn = cut(sketch(docs, key, text))
     classes = cut(drawn.where("print IS NOT NULL AND _id IS NOT NULL").groupBy("print").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    components = connected_components(links(docs, classes, key, text))
+    components = connected_components(links(docs, classes, key, text).unionByName(_own_texts(drawn, classes)))
     named = classes.select("print", "rep").join(components, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     # rows without a set get prints of their own: null keys would meet in one task
     own = drawn.select("_id", "n_shingles", F.coalesce("print", F.concat(F.lit("none "), F.coalesce(F.col("_id").cast("string"), F.lit(""))).cast("binary")).alias("print"))
@@ -262,7 +347,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose key is not the smallest of its component; dropped keys are broadcast only if counted small."""
+    """docs without the rows whose key is not the smallest of its component (see near_duplicates), with all columns.
+
+    Rows of a null key stay, rows that repeat a key that stays do too. Dropped keys are broadcast only if counted small.
+    """
     dropped = cut(near_duplicates(docs, key, text).where("NOT kept").select(key).distinct())
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), key, "left_anti")

@@ -69,6 +69,59 @@ def test_near_duplicates(docs, monkeypatch, node):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {(i, len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("depth", [1, 10])
+def test_recall_at_the_threshold(docs, monkeypatch, depth):
+    """Pairs at 0.75 to 0.8 in nodes that all have to branch, or to be compared in chunks and blocks."""
+    monkeypatch.setattr(N, "NODE", 8)
+    monkeypatch.setattr(N, "DEPTH", depth)
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(6)]  # a passage that all share, so that nodes are large
+    rows = []
+    for i in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(70)]
+        rows.append((2 * i, " ".join(words + common)))
+        for p in rng.sample(range(8), 1):  # one word changed in the middle: 5 of 68 shingles go, twice over
+            for at in (10 + p, 40 + p):
+                words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(words + common)))
+    sets = {i: shingles(t) for i, t in rows}
+    near = [i for i in range(150) if 75 <= 100 * len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) <= 80]
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs(rows)).collect()}
+    assert len(near) == 150 and sum(got[2 * i + 1] == 2 * i for i in near) >= 0.98 * len(near)
+    assert all(got[2 * i] == 2 * i for i in range(150))
+
+
+def test_dense_group_is_linked_by_its_pivot_and_the_rest_by_blocks(docs, monkeypatch):
+    """A large group that never shrinks, and a chain that leaves it: like a member, unlike the smallest class."""
+    monkeypatch.setattr(N, "NODE", 6)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    w = rows[59][1].split()
+    for k in range(4):  # each step away from the one before
+        w = w[:-4] + [f"y{k}{j}" for j in range(4)] if k % 2 else [f"z{k}{j}" for j in range(4)] + w[4:]
+        w = w + [f"q{k}{j}" for j in range(6)]
+        rows.append((100 + k, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(sets, links)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs(rows)).collect()}
+    assert got == want and len(set(want.values())) < 5
+
+
+def test_one_key_with_several_texts(docs):
+    """Links of a key are those of all its texts."""
+    a, b = "one two three four five six seven", "eins zwei drei vier fünf sechs sieben"
+    got = N.near_duplicates(docs([(5, a), (5, b), (2, a), (3, b), (9, "other words stand here for themselves")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (3, 2), (5, 2), (5, 2), (9, 9)]
+    with pytest.raises(TypeError):
+        N.near_duplicates(docs([(1, "a")]).selectExpr("cast(doc_id AS string) AS doc_id", "text"))
+
+
 def test_near_duplicates_of_odd_rows(docs):
     got = sorted(map(tuple, N.near_duplicates(docs([(5, "a b c d e f"), (5, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")])).collect()), key=str)
     assert got == sorted([(5, 2, 2, False), (5, 2, 2, False), (2, 2, 2, True), (None, 2, None, True)], key=str)
