@@ -10,8 +10,8 @@ hashes, one row with the sorted distinct hashes of its n-grams and their counts
 1. explode: documents -> packed n-grams, already summed within a chunk, so a frequent n-gram is one entry a chunk
 2. count and join, by range of hashes: the counts of all chunks are summed by n-gram, and each chunk's n-grams get the
    sum less their own count
-3. score, by chunk: the words of the chunk, which travel along as small integers, look their n-grams up, back off and are
-   summed by document
+3. score: the counts are co-grouped with the words of their chunk, which are read a second time and come as small
+   integers; the words look their n-grams up, back off and are summed by document
 
 A packed row has at least one n-gram, so there are never more rows than a plain table of n-grams would have; packing
 only makes them fewer and, by gaps between sorted hashes, smaller.
@@ -33,11 +33,13 @@ from .near_duplicates import grouped
 #: Longest n-gram, factor of each step back.
 ORDER, BACKOFF = 3, 0.4
 #: Words after which a chunk is closed (a longer document is a chunk of its own), bytes of text for each range of hashes.
-CHUNK, PARTITION_BYTES = 4_000_000, 16 << 20
+CHUNK, PARTITION_BYTES = 2_500_000, 16 << 20
 #: Chunks that a task may have.
 CHUNKS = 1 << 24
-ROW = pa.schema([("dest", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ROW_SQL = "dest int, chunk long, n int, part int, keys binary, counts binary"
+ROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ROW_SQL = "part int, chunk long, n int, keys binary, counts binary"
+WORDS = pa.schema([("chunk", pa.int64()), ("documents", pa.binary()), ("vocabulary", pa.binary()), ("words", pa.binary())])
+WORDS_SQL = "chunk long, documents binary, vocabulary binary, words binary"
 
 
 def _keys(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,84 +66,87 @@ def _unpack(b: bytes, size: int) -> np.ndarray:
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys: gaps by byte plane, of which only the upper three, nearly all zero, are compressed."""
     planes = np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
-    return _pair(planes[:5].tobytes(), zlib.compress(planes[5:].tobytes(), 1))
+    return len(keys).to_bytes(8, "little") + planes[:5].tobytes() + zlib.compress(planes[5:].tobytes(), 1)
 
 
 def _unpack_keys(b: bytes) -> np.ndarray:
-    low, high = _parts(b)
-    n = len(low) // 5
-    planes = np.concatenate([np.frombuffer(low, np.uint8).reshape(5, n), np.frombuffer(zlib.decompress(high), np.uint8).reshape(3, n)])
+    n = int.from_bytes(b[:8], "little")
+    planes = np.concatenate([np.frombuffer(b, np.uint8, 5 * n, 8).reshape(5, n), np.frombuffer(zlib.decompress(b[8 + 5 * n :]), np.uint8).reshape(3, n)])
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _pair(a: bytes, b: bytes) -> bytes:
-    return len(a).to_bytes(8, "little") + a + b
-
-
-def _parts(x: bytes) -> tuple[bytes, bytes]:
-    n = 8 + int.from_bytes(x[:8], "little")
-    return x[8:n], x[n:]
-
-
-def _batches(rows, size: int = 4 << 20):
-    """Tuples of ROW -> record batches of about `size` bytes."""
+def _batches(rows, schema: pa.Schema, size: int = 4 << 20):
+    """Tuples -> record batches of about `size` bytes."""
     held, bytes_ = [], 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
     for row in rows:
         held.append(row)
-        bytes_ += len(row[4] or b"") + len(row[5] or b"")
+        bytes_ += sum(len(x) for x in row if isinstance(x, bytes))
         if bytes_ >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), ROW, strict=True)], schema=ROW)
+            yield made()
             held, bytes_ = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), ROW, strict=True)], schema=ROW)
+        yield made()
+
+
+def _chunks(batches):
+    """Documents -> (chunk, ids, words of each). A chunk is named by the task's partition and its number there, so equal chunks stay apart."""
+    cache = WordHashes()
+    chunk = TaskContext.get().partitionId() * CHUNKS
+    ids, words, held = [], [], 0
+    for some, texts in slices(batches, ("_id", "_text"), "_text", 1_000_000):
+        for i, t in zip(some, texts, strict=True):
+            w = word_hashes(t, cache)
+            if held and held + len(w) > CHUNK:
+                yield chunk, ids, words
+                chunk += 1
+                ids, words, held = [], [], 0
+            ids.append(i)
+            words.append(w)
+            held += len(w)
+    if ids:
+        yield chunk, ids, words
+
+
+def _flat(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all documents in a row, the document of each, and the number of words of each document."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    return np.concatenate([np.zeros(0, np.uint64), *words]), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), sizes
 
 
 def _explode(order: int, bits: int):
-    """Step 1. Documents -> for each chunk its words (n = 0), and for each order and range of hashes its n-grams.
+    """Step 1. Documents -> for each chunk, order and range of hashes its n-grams."""
 
-    A chunk is named by the task's partition and its number there, so equal chunks stay apart.
-    """
+    def rows(batches):
+        for chunk, _, words in _chunks(batches):
+            flat, doc, _ = _flat(words)
+            for n in range(1, order + 1):
+                keys, counts = np.unique(_keys(flat, doc, n)[0], return_counts=True)
+                part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    yield int(part[a]), chunk, n, _pack_keys(keys[a:b]), _pack(counts[a:b])
 
-    def chunk_rows(chunk, ids, words):
-        flat = np.concatenate([np.zeros(0, np.uint64), *words])
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        vocabulary, at, n = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(n), dtype=np.uint32)  # frequent words have small numbers
-        by_frequency = np.argsort(-n, kind="stable")
-        rank[by_frequency] = np.arange(len(n), dtype=np.uint32)
-        head = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes)], names=["id", "n"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, head.schema) as out:
-            out.write_batch(head)
-        body = _pair(_pack_keys(vocabulary), _pair(_pack(by_frequency), _pack(rank[at])))
-        del at, rank, by_frequency
-        yield chunk % (1 << bits), chunk, 0, 0, zlib.compress(sink.getvalue().to_pybytes(), 1), body
-        for n in range(1, order + 1):
-            keys, counts = np.unique(_keys(flat, doc, n)[0], return_counts=True)
-            part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-            bounds = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                yield int(part[a]), chunk, n, int(part[a]), _pack_keys(keys[a:b]), _pack(counts[a:b])
+    return lambda batches: _batches(rows(batches), ROW)
 
-    def rows(batches):
-        cache = WordHashes()
-        chunk = TaskContext.get().partitionId() * CHUNKS
-        ids, words, held = [], [], 0
-        for some, texts in slices(batches, ("_id", "_text"), "_text", 1_000_000):
-            for i, t in zip(some, texts, strict=True):
-                w = word_hashes(t, cache)
-                if held and held + len(w) > CHUNK:
-                    yield from chunk_rows(chunk, ids, words)
-                    chunk += 1
-                    ids, words, held = [], [], 0
-                ids.append(i)
-                words.append(w)
-                held += len(w)
-        if ids:
-            yield from chunk_rows(chunk, ids, words)
-
-    return lambda batches: _batches(rows(batches))
+
+def _words(batches):
+    """Documents -> each chunk's words: the vocabulary, frequent words first, and the number of each word in it."""
+
+    def rows():
+        for chunk, ids, words in _chunks(batches):
+            flat, _, sizes = _flat(words)
+            vocabulary, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+            by_frequency = np.argsort(-n, kind="stable")
+            rank = np.empty(len(n), dtype=np.uint32)
+            rank[by_frequency] = np.arange(len(n), dtype=np.uint32)
+            head = pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes)], names=["id", "n"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as out:
+                out.write_batch(head)
+            yield chunk, zlib.compress(sink.getvalue().to_pybytes(), 1), vocabulary[by_frequency].tobytes(), _pack(rank[at])
+
+    return _batches(rows(), WORDS)
 
 
 def _count_and_join(batches):
@@ -153,9 +158,6 @@ def _count_and_join(batches):
             bounds = np.flatnonzero(np.r_[True, order[1:] != order[:-1], True])
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 asked = table.slice(a, b - a).to_pylist()
-                if order[a] == 0:  # the words of chunks pass
-                    yield from ((r["dest"], r["chunk"], 0, 0, r["keys"], r["counts"]) for r in asked)
-                    continue
                 own = [_unpack_keys(r["keys"]) for r in asked]
                 counts = [_unpack(r["counts"], len(k)) for r, k in zip(asked, own, strict=True)]
                 keys, at = np.unique(np.concatenate(own), return_inverse=True)
@@ -165,29 +167,17 @@ def _count_and_join(batches):
                 for r, c in zip(asked, counts, strict=True):
                     rest = total[at[done : done + len(c)]] - c
                     done += len(c)
-                    yield r["dest"], r["chunk"], r["n"], r["part"], None, _pair(len(c).to_bytes(8, "little"), _pack(rest))
+                    yield r["part"], r["chunk"], r["n"], None, len(c).to_bytes(8, "little") + _pack(rest)
 
-    return _batches(rows())
+    return _batches(rows(), ROW)
 
 
 def _score(order: int, names: list[str]):
-    """Step 3. Rows of a chunk, its words first, then counts by order and range -> per document: words, n-grams known in full, log score without the corpus size, words that need it."""
-
-    def run(batches):
-        for table in grouped(batches, "chunk"):
-            chunks = table.column("chunk").to_numpy()
-            bounds = np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1], True])
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                yield score(table.slice(a, b - a).to_pylist())
+    """Step 3. A chunk's words and the counts of its n-grams -> per document: words, n-grams known in full, log score without the corpus size, words that need it."""
 
     def elsewhere(rows, flat, doc, n):
         """Occurrences in other documents of the n-gram that ends at each word."""
-        answers = []
-        for r in rows:
-            if r["n"] == n:
-                size, packed = _parts(r["counts"])
-                answers.append(_unpack(packed, int.from_bytes(size, "little")))
-        rest = np.concatenate([np.zeros(0, np.int64), *answers])
+        rest = np.concatenate([np.zeros(0, np.int64), *[_unpack(r["counts"][8:], int.from_bytes(r["counts"][:8], "little")) for r in rows if r["n"] == n]])
         out = np.zeros(len(flat), dtype=np.int64)
         keys, end = _keys(flat, doc, n)
         if not len(keys):
@@ -203,14 +193,13 @@ def _score(order: int, names: list[str]):
         out[end] = (rest + np.bincount(which))[which] - np.bincount(pair)[pair]
         return out
 
-    def score(rows):
+    def score(counts: pa.Table, chunk: pa.Table) -> pa.Table:
+        (own,) = chunk.to_pylist()
+        rows = counts.select(["part", "n", "counts"]).to_pylist()
         rows.sort(key=lambda r: (r["n"], r["part"]))
-        head = pa.ipc.open_stream(zlib.decompress(rows[0]["keys"])).read_all()
-        ids, sizes = head.column("id").to_pylist(), head.column("n").to_numpy()
-        vocabulary, packed = _parts(rows[0]["counts"])
-        by_frequency, rank = _parts(packed)
-        vocabulary = _unpack_keys(vocabulary)
-        flat = vocabulary[_unpack(by_frequency, len(vocabulary))][_unpack(rank, int(sizes.sum()))]
+        head = pa.ipc.open_stream(zlib.decompress(own["documents"])).read_all()
+        ids, sizes = head.column("id"), head.column("n").to_numpy()
+        flat = np.frombuffer(own["vocabulary"], dtype=np.uint64)[_unpack(own["words"], int(sizes.sum()))]
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         total, penalty = np.zeros(len(flat)), np.zeros(len(flat))
         open_, whole = np.ones(len(flat), dtype=bool), np.zeros(len(flat), dtype=bool)
@@ -229,9 +218,9 @@ def _score(order: int, names: list[str]):
         last = np.flatnonzero(open_)
         total[last] = penalty[last] + np.log(np.maximum(longer[last], 0.5))
         sums = [np.bincount(doc, x, len(sizes)) for x in (whole, total, open_)]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.int64))], names=names)
+        return pa.table([ids, pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.int64))], names=names)
 
-    return run
+    return score
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
@@ -251,12 +240,13 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     size = source.agg(F.sum(F.octet_length("_text")).alias("b")).first()["b"] or 0
     bits = max(2, (max(1, size // PARTITION_BYTES) - 1).bit_length())
     exploded = source.mapInArrow(lean(_explode(order, bits)), ROW_SQL)
-    counted = exploded.repartitionById(1 << bits, F.col("dest")).sortWithinPartitions("n").mapInArrow(lean(_count_and_join), ROW_SQL)
+    counted = exploded.repartitionById(1 << bits, F.col("part")).sortWithinPartitions("n").mapInArrow(lean(_count_and_join), ROW_SQL)
+    words = source.mapInArrow(lean(_words), WORDS_SQL)
     names = ["_id", "n_words", "n_known", "part_score", "n_last"]
-    scored = counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(lean(_score(order, names)), "_id long, n_words long, n_known long, part_score double, n_last long")
+    scored = counted.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_score(order, names), "_id long, n_words long, n_known long, part_score double, n_last long")
     scored = cut(scored)
-    words = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
-    rest = F.greatest(F.lit(words) - F.col("n_words"), F.lit(1)).cast("double")
+    every = scored.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first()["n"]
+    rest = F.greatest(F.lit(every) - F.col("n_words"), F.lit(1)).cast("double")
     score = F.round((F.col("part_score") - F.col("n_last") * F.log(rest)) / F.col("n_words"), 4)
     return scored.select(F.col("_id").alias(key), "n_words", "n_known", F.when(F.col("n_words") > 0, score).alias("log_score"))
 
