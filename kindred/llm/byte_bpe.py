@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, slices
+from .common import CACHED, lean, slices
 
 #: Byte b is the character U+0100 + b: letters that no normaliser touches.
 SHIFT = 0x100
-#: Pre-tokens whose ids a worker keeps before it starts anew.
+#: Pre-tokens whose ids a worker keeps before it starts anew; long ones are not kept.
 CACHE = 300_000
 TYPES = {"ids": "array<bigint>", "decoded": "binary", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
@@ -101,7 +101,11 @@ class Codec:
         for (token, _), x in zip(merged, ids, strict=True):
             self.cache[token] = np.array(x, dtype="<u4").tobytes()
         get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in found]
+        out = [b"".join(map(get, x)) for x in found]
+        for token in new:
+            if len(token) > CACHED:
+                del self.cache[token]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.inverse.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -111,13 +115,19 @@ def code_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[s
     """Encode and decode every whole text, one row per row.
 
     outputs: any of ids, decoded (the bytes the ids stand for), n_tokens, ids_sha256, decoded_sha256. Null and empty
-    texts have no ids. Repeated rows give repeated results; columns outside `keep` are not read. A narrow job: no
+    texts have no ids. Texts and words of any length are encoded whole. Repeated rows give repeated results, null keys
+    stay; columns outside `keep` are not read, and one in it that is named like an output is refused. A narrow job: no
     shuffle, and a lost executor's partitions are simply computed again.
     """
+    if clash := {*keep} & {*outputs}:
+        raise ValueError(f"columns to keep are named like outputs: {sorted(clash)}")
+    held = "_text"
+    while held in keep:
+        held = f"_{held}"
     with open(ranks_path, "rb") as f:
         ranks_file = f.read()
     read_ranks(ranks_file)
-    source = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+    source = docs.select(*keep, F.col(text).cast("string").alias(held))
     schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + [f"{c} {TYPES[c]}" for c in outputs])
 
     def run(batches):
@@ -126,7 +136,7 @@ def code_documents(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[s
         def coded(batch):
             for part in (batch.slice(i, 256) for i in range(0, len(batch), 256)):
                 made = {c: [] for c in outputs}
-                for (texts,) in slices([part.select(["_text"])], ("_text",), "_text"):
+                for (texts,) in slices([part.select([held])], (held,), held):
                     for ids in codec.encode([t or "" for t in texts]):
                         decoded = codec.decode(ids) if {"decoded", "decoded_sha256"} & {*outputs} else b""
                         for c in outputs:
