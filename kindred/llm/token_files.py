@@ -2,8 +2,9 @@
 
 A shard is one Arrow IPC file: record batches of `ids` and `mask`, both fixed-size lists of the sequence length,
 uncompressed, so that sequence i is at a known place and a memory map gives it without a copy. Beside it lies an
-index file (doc_id, start, n_tokens). Documents follow one another in ascending doc_id; shards hold consecutive
-ranges of doc_id and each begins a sequence of its own, the last one padded under a false mask.
+index file (doc_id, start, n_tokens). Documents follow one another in ascending doc_id; tasks have consecutive ranges
+of doc_id and write one shard after the other, each of which begins a sequence of its own, the last one padded under a
+false mask.
 """
 
 from __future__ import annotations
@@ -17,17 +18,22 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, lean, slices
+from .common import CACHED, cut, integral, lean, slices
 
-#: Tokens in a sequence, sequences in a record batch, text bytes that a shard aims at, shards at most.
-LENGTH, BATCH, SHARD_BYTES, SHARDS = 2048, 64, 16 << 20, 1000
-#: Percentiles of doc_id from which the bounds of shards are taken.
-GRID = 1000
-#: Words whose ids a worker keeps before it starts anew.
+#: Tokens in a sequence, sequences in a record batch, tokens after which a shard is closed.
+LENGTH, BATCH, SHARD_TOKENS = 2048, 64, 8 << 20
+#: Text bytes that a range of doc_id aims at, and ranges at most: a range is a task that sorts on disk and writes as
+#: many shards as it needs, so with more text ranges get longer, nothing else.
+RANGE_BYTES, RANGES = 16 << 20, 20_000
+#: Words whose ids a worker keeps before it starts anew; long ones are not kept.
 CACHE = 800_000
+#: Where rows of a null doc_id are sorted: before all others.
+NO_ID = -(1 << 63)
 
 
 class Encoder(dict):
@@ -79,11 +85,12 @@ class Encoder(dict):
         if self.WORD.fullmatch(word):
             ids = self.model_ids(word)
         elif word[-1:] in (",", ".") and self.WORD.fullmatch(word, 0, len(word) - 1):
-            self[piece] = value = self[piece[:-1]] + self[piece[-1:]]
-            return value
+            ids = None
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[piece] = value = array(self.code, ids).tobytes()
+        value = self[piece[:-1]] + self[piece[-1:]] if ids is None else array(self.code, ids).tobytes()
+        if len(piece) <= CACHED:
+            self[piece] = value
         return value
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -114,11 +121,11 @@ def _place(uri: str):
 class ShardWriter:
     """Appends documents to one shard; holds one record batch of tokens at most."""
 
-    def __init__(self, folder: str, shard: int, kind: np.dtype, length: int):
+    def __init__(self, folder: str, part: int, shard: int, kind: np.dtype, length: int):
         self.fs, root = _place(folder)
         self.fs.create_dir(root, recursive=True)
-        self.name = f"shard-{shard:07d}-{uuid.uuid4().hex}"  # a repeated task writes its own file; the manifest names the one that counts
-        self.kind, self.length, self.shard = kind, length, shard
+        self.name = f"shard-{part:06d}-{shard:06d}-{uuid.uuid4().hex}"  # a repeated task writes its own file; the manifest names the one that counts
+        self.kind, self.length, self.part, self.shard = kind, length, part, shard
         value = pa.from_numpy_dtype(kind)
         self.schema = pa.schema([("ids", pa.list_(value, length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -154,12 +161,12 @@ class ShardWriter:
             self.index.write_batch(pa.record_batch([pa.array(x, pa.int64()) for x in zip(*self.rows, strict=True)], schema=self.index_schema))
             self.rows = []
 
-    def close(self) -> tuple[int, str, int, int]:
+    def close(self) -> tuple[int, int, str, int, int]:
         self._flush(True)
         self._flush_index()
         for x in (self.data, self.index, *self.sinks):
             x.close()
-        return self.shard, self.name, self.docs, self.total
+        return self.part, self.shard, self.name, self.docs, self.total
 
 
 @contextmanager
@@ -181,52 +188,69 @@ def sequence(folder: str, name: str, i: int) -> tuple[np.ndarray, np.ndarray]:
         return batch.column("ids")[i % BATCH].values.to_numpy(zero_copy_only=True), batch.column("mask")[i % BATCH].values.to_numpy(zero_copy_only=False)
 
 
+def ranges(docs: DataFrame, text: str) -> np.ndarray:
+    """Bounds of the ranges of doc_id, ascending. An id that has more rows than a range should stands there several times."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    n = min(RANGES, max(1, -(-size // RANGE_BYTES)))
+    if n == 1:
+        return np.zeros(0, dtype=np.int64)
+    found = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), [i / n for i in range(1, n)], 10 * n)).first()[0]
+    return np.array(found or [], dtype=np.int64)
+
+
+def range_of(bounds: np.ndarray, doc_id: int, spread: int) -> int:
+    """The range of a row; rows of an id that is several bounds are dealt to the ranges between them by a 64-bit hash, in its order."""
+    low, high = int(np.searchsorted(bounds, doc_id, "left")), int(np.searchsorted(bounds, doc_id, "right"))
+    return low + (spread * (high - low + 1) >> 64)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """Encode every whole text, append end_id, write the shards; returns the manifest (shard, name, n_docs, n_tokens).
+    """Encode every whole text, append end_id, write the shards; returns the manifest (part, shard, name, n_docs, n_tokens).
 
-    Null texts are empty (one id, the end). Rows of a null doc_id come first; rows of equal doc_id are ordered by
-    their ids. One shuffle moves ids (16-bit where the vocabulary allows), never texts; its range bounds come from
+    Null and empty texts have one id, the end; texts and words of any length are encoded whole. Rows of a null doc_id
+    come first; rows of equal doc_id are ordered by a hash of their ids, and so many that they exceed a range are
+    dealt to several. doc_id is an integer, other types are refused; other columns are not read. An empty table gives an
+    empty manifest. One shuffle moves ids (16-bit where the vocabulary allows), never texts; its bounds come from
     percentiles of doc_id, so no text is encoded twice.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         file = f.read()
     kind = np.dtype("<u2" if max(Encoder(file, np.dtype("<u4")).suits(), end_id + 1) <= 1 << 16 else "<u4")
-    seen = docs.agg(F.sum(F.octet_length(text)).alias("b"), F.percentile_approx("doc_id", [i / GRID for i in range(GRID + 1)], 10 * GRID).alias("p")).first()
-    n = min(SHARDS, max(1, -(-(seen["b"] or 0) // SHARD_BYTES)))
-    grid = seen["p"] or [0]
-    bounds = np.unique(np.array([grid[round(i * (len(grid) - 1) / n)] for i in range(1, n)], dtype=np.int64))
-    n = len(bounds) + 1
+    source = docs.select(integral(docs, "doc_id").alias("doc_id"), F.col(text).cast("string").alias("_text"))
+    bounds = ranges(source, "_text")
 
     def encoded(batches):
         encoder, end = Encoder.of(file, kind), np.array([end_id], dtype=kind).tobytes()
         for ids, texts in slices(batches, ("doc_id", "_text"), "_text"):
             coded = [x + end for x in encoder.encode([t or "" for t in texts])]
-            shard = [0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids, pa.int64()), pa.array(coded, pa.binary())], names=["shard", "doc_id", "ids"])
+            spread = [xxhash.xxh3_64_intdigest(x) for x in coded]
+            part = [range_of(bounds, NO_ID if i is None else i, h) for i, h in zip(ids, spread, strict=True)]
+            spread = [h - (1 << 63) for h in spread]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(spread, pa.int64()), pa.array(coded, pa.binary())], names=["part", "doc_id", "spread", "ids"])
 
     def written(batches):
         writer, done = None, []
         for batch in batches:
-            for shard, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
-                if writer is None or writer.shard != shard:
+            for part, doc_id, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
+                if writer is None or writer.part != part or writer.total >= SHARD_TOKENS:
                     done += [writer.close()] if writer else []
-                    writer = ShardWriter(folder, shard, kind, length)
+                    writer = ShardWriter(folder, part, sum(d[0] == part for d in done), kind, length)
                 writer.add(doc_id, np.frombuffer(ids, dtype=kind))
         done += [writer.close()] if writer else []
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["shard", "name", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "shard", "name", "n_docs", "n_tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(lean(encoded), "shard int, doc_id long, ids binary")
-    ordered = rows.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    return cut(ordered.mapInArrow(lean(written), "shard int, name string, n_docs long, n_tokens long"))
+    rows = source.mapInArrow(lean(encoded), "part int, doc_id long, spread long, ids binary")
+    ordered = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "spread", "ids")
+    return cut(ordered.mapInArrow(lean(written), "part int, shard int, name string, n_docs long, n_tokens long"))
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids before it), n_tokens, ids_crc32. One row per shard is held on the driver."""
-    base, rows = 0, []
-    for x in manifest.orderBy("shard").toLocalIterator():
-        rows.append((x["name"], base))
-        base += x["n_tokens"]
+    """Per document, from the files: doc_id, start (ids before it), n_tokens, ids_crc32. The driver adds up one number per range."""
+    before, rows = 0, []
+    for x in manifest.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # RANGES rows at most
+        rows.append((x["part"], before))
+        before += x["n"]
 
     def read(batches):
         for batch in batches:
@@ -246,5 +270,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                             out.append((doc_id, first + start, n, zlib.crc32(ids.astype("<u4").tobytes())))
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = spark.createDataFrame(rows or [("", 0)], "name string, first long").where("name <> ''")
-    return shards.repartition(max(1, len(rows))).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    starts = F.broadcast(spark.createDataFrame(rows, "part int, before long"))
+    own = F.coalesce(F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    shards = manifest.join(starts, "part").select("name", (F.col("before") + own).alias("first"))
+    return shards.repartition(max(1, manifest.count())).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -76,9 +76,10 @@ def test_pieces_are_the_librarys(library):
         assert np.frombuffer(e.encode([s])[0], "<u2").tolist() == library.encode(s, add_special_tokens=False).ids, repr(s)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 30, 20_000])
-def test_files(spark, docs, library, tmp_path, monkeypatch, shard_bytes):
-    monkeypatch.setattr(token_files, "SHARD_BYTES", shard_bytes)
+@pytest.mark.parametrize(("range_bytes", "shard_tokens"), [(1 << 30, 1 << 23), (20_000, 1 << 23), (1 << 30, 300), (3_000, 300)])
+def test_files(spark, docs, library, tmp_path, monkeypatch, range_bytes, shard_tokens):
+    monkeypatch.setattr(token_files, "RANGE_BYTES", range_bytes)
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", shard_tokens)
     rows = [(7 * i % 101, t) for i, t in enumerate(HARD)] + [(1000 + i, f"document {i}") for i in range(300)] + [(1000, "document 0"), (None, "no id")]
     manifest = token_files.write_tokens(docs(rows), str(tmp_path), WORDS, 2, length=64)
     got = sorted((tuple(r) for r in token_files.read_tokens(spark, str(tmp_path), manifest).collect()), key=lambda r: r[1])
@@ -95,7 +96,38 @@ def test_files(spark, docs, library, tmp_path, monkeypatch, shard_bytes):
         assert all(len(ids) == 64 for ids, _ in tails) and sum(int(mask.sum()) for _, mask in tails) == m["n_tokens"]
         assert all(mask.all() for _, mask in tails[:-1])
         total += m["n_tokens"]
-    assert total == at and (manifest.count() > 1) == (shard_bytes < 1 << 20)
+    assert total == at and (manifest.count() > 1) == (min(range_bytes, shard_tokens) < 1 << 20)
+
+
+def test_files_of_hot_ids(spark, docs, library, tmp_path, monkeypatch):
+    """Rows of one id, and of none, go to several ranges and stay in order."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 500)
+    rows = [(7, f"hot row {i}") for i in range(400)] + [(None, f"nameless row {i}") for i in range(400)] + [(i, f"row {i}") for i in range(40)]
+    manifest = token_files.write_tokens(docs(rows), str(tmp_path), WORDS, 2, length=16)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert len(sizes) > 10 and max(sizes) < 200 and sum(sizes) == len(rows)
+    got = sorted((tuple(r) for r in token_files.read_tokens(spark, str(tmp_path), manifest).collect()), key=lambda r: r[1])
+    crc = lambda t: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert sorted((str(i), c) for i, _, _, c in got) == sorted((str(i), crc(t)) for i, t in rows)
+    ids = [-1 if r[0] is None else r[0] for r in got]
+    assert ids == sorted(ids) and [r[1] for r in got[1:]] == [r[1] + r[2] for r in got[:-1]]
+    with pytest.raises(TypeError):
+        token_files.write_tokens(docs([(1, "a")]).selectExpr("string(doc_id) AS doc_id", "text"), str(tmp_path), WORDS, 2)
+
+
+def test_long_words_are_not_kept(codec):
+    e = token_files.Encoder(open(WORDS, encoding="utf-8").read(), np.dtype("<u2"))
+    long = ["ab" * 100_000, "Q9" * 50_000, "short"]
+    e.encode(long)
+    codec.encode(long)
+    assert all(len(x) <= 64 for x in e) and all(len(x) <= 64 for x in codec.cache) and "short" in codec.cache
+
+
+def test_a_kept_column_named_like_an_output(docs):
+    with pytest.raises(ValueError):
+        byte_bpe.code_documents(docs([(1, "a")]).withColumnRenamed("n_chars", "ids"), RANKS, P.PATTERN, keep=("doc_id", "ids"))
+    d = docs([(1, "a")]).withColumnRenamed("lang", "_text")
+    assert byte_bpe.code_documents(d, RANKS, P.PATTERN, keep=("_text",), outputs=("n_tokens",)).collect()[0].asDict() == {"_text": "en", "n_tokens": 1}
 
 
 def test_no_documents(spark, docs, tmp_path):
