@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a pivot-permutation index (operator 7).
 
-Reference points (pivots) are a bounded sample of the vectors. Every vector is described by its nearest pivots, more of
-them where there are more pivots, nearest first in the permutation; inverted lists hold, for each pivot, the vectors
+Reference points (pivots) are a sample of the vectors, as many as the root of their number, so that lists and pivots grow
+alike. Every vector is described by its nearest pivots, more of them where there are more pivots, nearest first in the
+permutation; inverted lists hold, for each pivot, the vectors
 that have it. All pairs within a list are candidates and verified by cosine in double precision. A pair counts in the
 list of its smallest common pivot only. Long lists are worked on in pairs of blocks, so that no task holds more than
 two blocks, and none of the pairs leaves its task: what comes out are link counts per vector and links that span the
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, lean
+from .common import connected_components, cut, integral, lean
 from .near_duplicates import grouped
 
-#: Pivots at least and at most (between, the root of the number of vectors), pivots that describe a vector at least, and how many more for each doubling of the pivots.
-PIVOTS, MOST_PIVOTS, NEAREST, MORE = 512, 4096, 10, 2
+#: Pivots at least (above it, the root of the number of vectors), pivots that describe a vector at least, and how many more for each doubling of the pivots.
+PIVOTS, NEAREST, MORE = 512, 10, 2
 #: Pivots have cosines below this to one another.
 APART = 0.8
 #: Vectors in a block of a list; candidate pairs verified at a time.
@@ -42,12 +43,19 @@ def spread(sample: np.ndarray, most: int) -> np.ndarray:
 
     With many pivots inside a group, its vectors would have their nearest ones by chance and share too few.
     """
-    near = sample @ sample.T >= APART
-    kept: list[int] = []
-    for i in range(len(sample)):
-        if not near[i, kept].any():
-            kept.append(i)
-    return sample[kept[:most]]
+    kept = np.zeros((0, sample.shape[1]))
+    for at in range(0, len(sample), BLOCK):  # never all pairs at once
+        block = sample[at : at + BLOCK]
+        block = block[~(block @ kept.T >= APART).any(axis=1)]
+        near = block @ block.T >= APART
+        own: list[int] = []
+        for i in range(len(block)):
+            if not near[i, own].any():
+                own.append(i)
+        kept = np.concatenate([kept, block[own]])
+        if len(kept) >= most:
+            break
+    return kept[:most]
 
 
 def described_by(pivots: int) -> int:
@@ -74,7 +82,7 @@ def _described(classes: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
     return classes.select("rep", "n", "v").mapInArrow(lean(run), f"rep long, n long, v {dict(classes.dtypes)['v']}, pivots array<int>")
 
 
-def _search(dim: int, pivots: int, least: float):
+def _search(dim: int, least: float):
     """Sorted rows (list, pivot, block, other, rep, n, v, pivots) -> (a, b, n): b null: n vectors linked to a; n null: a and b are linked."""
 
     def near(x, y, sx, sy, p, same):
@@ -82,13 +90,15 @@ def _search(dim: int, pivots: int, least: float):
         ok = x @ y.T >= least - 1e-9  # what rounds differently is decided below
         if same:
             ok = np.triu(ok, 1)
-        if p and ok.any():
-            ok &= (sx[:, :p] @ sy[:, :p].T) == 0
         i, j = np.nonzero(ok)
         keep = np.zeros(len(i), dtype=bool)
-        for at in range(0, len(i), PAIRS):
-            s = slice(at, at + PAIRS)
-            keep[s] = np.einsum("ij,ij->i", x[i[s]], y[j[s]]) >= least
+        for at in range(0, len(i), PAIRS // 4):
+            s = slice(at, at + PAIRS // 4)
+            a, b = sx[i[s]], sy[j[s]]
+            shared = np.zeros(len(a), dtype=bool)
+            for k in range(a.shape[1]):
+                shared |= ((a[:, k, None] == b) & (b < p)).any(axis=1)
+            keep[s] = ~shared & (np.einsum("ij,ij->i", x[i[s]], y[j[s]]) >= least)
         return i[keep], j[keep]
 
     def run(batches):
@@ -100,9 +110,7 @@ def _search(dim: int, pivots: int, least: float):
                 own, p = block[a:b], part.column("pivot")[0].as_py()
                 low, high = part.column("low")[0].as_py(), part.column("high")[0].as_py()
                 x = unit(_vectors(part.column("v").combine_chunks(), dim))
-                sets = np.zeros((len(x), pivots), dtype=np.float32)
-                at = part.column("pivots").combine_chunks().flatten().to_numpy()
-                sets[np.repeat(np.arange(len(x)), len(at) // len(x)), at] = 1
+                sets = part.column("pivots").combine_chunks().flatten().to_numpy().reshape(len(x), -1)
                 first = np.flatnonzero(own == low)
                 second = first if low == high else np.flatnonzero(own == high)
                 if not len(first) or not len(second):
@@ -137,9 +145,9 @@ def _search(dim: int, pivots: int, least: float):
 
 def _links(classes: DataFrame, dim: int, least: float) -> DataFrame:
     count = classes.count()
-    m = min(MOST_PIVOTS, max(PIVOTS, isqrt(count)))
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(2 * m).select("v").collect()  # 2 * MOST_PIVOTS vectors at most
-    pivots = spread(unit(np.array([r["v"] for r in sample], dtype=np.float64)), m)
+    m = max(PIVOTS, isqrt(count))
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(2 * m).select("v").toArrow()  # twice the root of the number of vectors
+    pivots = spread(unit(_vectors(sample["v"].combine_chunks(), dim)), m)
     rows = cut(_described(classes, pivots, dim))
     lists = rows.select("*", F.explode("pivots").alias("pivot"))
     sizes = F.broadcast(lists.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # a row per pivot
@@ -147,7 +155,7 @@ def _links(classes: DataFrame, dim: int, least: float) -> DataFrame:
     lists = lists.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     lists = lists.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     lists = lists.select(F.xxhash64("pivot", "low", "high").alias("list"), "pivot", "low", "high", "block", "rep", "n", "v", "pivots")
-    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(lean(_search(dim, len(pivots), least)), "a long, b long, n long")
+    return lists.repartition("list").sortWithinPartitions("list").mapInArrow(lean(_search(dim, least)), "a long, b long, n long")
 
 
 def embedding_links(vectors: DataFrame, least: float = 0.9, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -155,13 +163,15 @@ def embedding_links(vectors: DataFrame, least: float = 0.9, key: str = "vec_id",
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Rows of a null key link with nothing, have a null component and are kept; rows that repeat a key
-    and a vector count as one. Copies of a vector become one class first, so their number costs nothing.
+    and a vector count as one. Of several vectors of a key one, that of the least hash, is linked; its other rows get the
+    result of that vector's copies, if it has any, else no links. Keys are integers, other types are refused; other columns are not read, so their names can't clash; an empty table gives none. Copies of a vector
+    become one class first, so their number costs nothing.
     """
     e = F.col(embedding)
     ok = F.coalesce(e.isNotNull() & F.col(key).isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    drawn = vectors.select(F.col(key).cast("long").alias("_id"), F.when(ok, e).alias("v"))
+    drawn = vectors.select(integral(vectors, key).alias("_id"), F.when(ok, e).alias("v"))
     drawn = drawn.withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v")).otherwise(F.xxhash64("_id"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit("v"), "v")))
-    good = drawn.where("v IS NOT NULL").groupBy("h1", "h2", "_id").agg(F.first("v").alias("v"))
+    good = drawn.where("v IS NOT NULL").groupBy("_id").agg(F.min("h1").alias("h1"), F.min_by("h2", "h1").alias("h2"), F.min_by("v", "h1").alias("v"))
     classes = cut(good.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     found = None
     for (dim,) in classes.select(F.size("v")).distinct().collect():  # lengths of vectors, one as a rule

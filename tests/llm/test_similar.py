@@ -151,6 +151,29 @@ def test_embedding_links(spark):
     assert E.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_one_key_with_several_vectors(spark):
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    d = spark.createDataFrame([(5, x), (5, y), (5, x), (2, x), (3, y), (9, [0.0, 0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = E.embedding_links(d).collect()
+    assert len(got) == 6 and {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got if r["vec_id"] == 9} == {9: (0, 9)}
+    two, three = ((r["n_links"], r["component_id"]) for r in sorted((r for r in got if r["vec_id"] in (2, 3)), key=lambda r: r["vec_id"]))
+    assert sorted([two[0], three[0]]) == [0, 1] and two[1] == 2 and three[1] == 3
+    with pytest.raises(TypeError):
+        E.embedding_links(d.selectExpr("string(vec_id) AS vec_id", "embedding"))
+
+
+def test_pivots_are_spread_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    sample = E.unit(rng.standard_normal((300, 6)))
+    want = []
+    for v in sample:
+        if all(v @ w < E.APART for w in want):
+            want.append(v)
+    for block in (1024, 7):
+        monkeypatch.setattr(E, "BLOCK", block)
+        assert np.array_equal(E.spread(sample, 40), np.array(want[:40])) and np.array_equal(E.spread(sample, 9999), np.array(want))
+
+
 def edit_distance_within(item, text):
     prev = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
