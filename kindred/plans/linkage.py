@@ -13,20 +13,8 @@ from ..sources.session import table
 from . import duck as D
 from .registry import query
 
-#: Document frequencies that the queries' blocking lets through; the gate of their SQL, and the reference's.
-LEAST_DF, MAX_DF, WHOLE_DF = 2, 50, 5000
-
-
-def gated(name: str, sql: str):
-    """Registers a query function (spark, sf_dir, max_df) as it is, and as NAME_whole at the reference's gate with SQL of its own."""
-
-    def register(run):
-        query(name, sql)(run)
-        gate = f"BETWEEN {LEAST_DF} AND "
-        query(f"{name}_whole", sql.replace(f"{gate}{MAX_DF})", f"{gate}{WHOLE_DF})"))(lambda spark, d: run(spark, d, WHOLE_DF))
-        return run
-
-    return register
+#: Document frequencies that the gate lets through (fixed values).
+LEAST_DF, MAX_DF = 2, 5000
 
 
 def digest(items: Column) -> Column:
@@ -101,39 +89,39 @@ for _name, (_retriever, _make) in TOKEN_QUERIES.items():
     _token_query(_name, _retriever, _make)
 
 
-@gated("df_gate", f"WITH {D.PREPARED}, {D.tokens('uni')}, {D.weighted(LEAST_DF, MAX_DF)} SELECT country_key, df, count(*) AS tokens FROM wt_df GROUP BY ALL")
-def df_gate(spark, d, max_df: int = MAX_DF):
+@query("df_gate", f"WITH {D.PREPARED}, {D.tokens('uni')}, {D.weighted(LEAST_DF, MAX_DF)} SELECT country_key, df, count(*) AS tokens FROM wt_df GROUP BY ALL")
+def df_gate(spark, d):
     t = B.tokens(R.prepared_documents(spark, d), "uni")
-    df = t.groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df").between(LEAST_DF, max_df))
+    df = t.groupBy("country_key", "token").agg(F.count("*").alias("df")).where(F.col("df").between(LEAST_DF, MAX_DF))
     return df.groupBy("country_key", "df").agg(F.count("*").alias("tokens"))
 
 
-@gated("idf_weights", f"WITH {D.PREPARED}, {D.tokens('uni')}, {D.weighted(LEAST_DF, MAX_DF)} SELECT entity_id, count(*) AS n_tokens, round(sum(idf), 4) AS idf_sum, round(max(w), 6) AS w_max, round(sum(w * w), 6) AS w_norm FROM wt GROUP BY ALL")
-def idf_weights(spark, d, max_df: int = MAX_DF):
-    w = B.weighted(R.prepared_documents(spark, d), "uni", LEAST_DF, max_df)
+@query("idf_weights", f"WITH {D.PREPARED}, {D.tokens('uni')}, {D.weighted(LEAST_DF, MAX_DF)} SELECT entity_id, count(*) AS n_tokens, round(sum(idf), 4) AS idf_sum, round(max(w), 6) AS w_max, round(sum(w * w), 6) AS w_norm FROM wt GROUP BY ALL")
+def idf_weights(spark, d):
+    w = B.weighted(R.prepared_documents(spark, d), "uni", LEAST_DF, MAX_DF)
     return w.groupBy("entity_id").agg(F.count("*").alias("n_tokens"), F.round(F.sum("idf"), 4).alias("idf_sum"), F.round(F.max("w"), 6).alias("w_max"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("w_norm"))
 
 
-def document_scores(spark, d, retriever: str = "combo_ph", max_df: int = MAX_DF) -> DataFrame:
-    return B.scored_pairs(B.weighted(R.prepared_documents(spark, d), retriever, LEAST_DF, max_df))
+def document_weights(spark, d, retriever: str = "combo_ph") -> DataFrame:
+    return B.weighted(R.prepared_documents(spark, d), retriever, LEAST_DF, MAX_DF)
 
 
 BLOCKED = f"{D.PREPARED}, {D.tokens('combo_ph')}, {D.weighted(LEAST_DF, MAX_DF)}, {D.SCORES}"
 
 
-@gated("block_forward", f"WITH {BLOCKED} SELECT s1_id, cand_id, fwd, round(score, 4) AS score FROM ranks WHERE fwd < 20")
-def block_forward(spark, d, max_df: int = MAX_DF):
-    return B.ranked(document_scores(spark, d, max_df=max_df)).where("fwd < 20").select("s1_id", "cand_id", F.col("fwd").cast("long").alias("fwd"), F.round("score", 4).alias("score"))
+@query("block_forward", f"WITH {BLOCKED} SELECT s1_id, cand_id, fwd, round(score, 4) AS score FROM ranks WHERE fwd < 20")
+def block_forward(spark, d):
+    return B.searched(document_weights(spark, d)).where("fwd IS NOT NULL").select("s1_id", "cand_id", F.col("fwd").cast("long").alias("fwd"), F.round("score", 4).alias("score"))
 
 
-@gated("block_reverse", f"WITH {BLOCKED} SELECT s1_id, cand_id, rev, round(score, 4) AS score FROM ranks WHERE rev < 3")
-def block_reverse(spark, d, max_df: int = MAX_DF):
-    return B.ranked(document_scores(spark, d, max_df=max_df)).where("rev < 3").select("s1_id", "cand_id", F.col("rev").cast("long").alias("rev"), F.round("score", 4).alias("score"))
+@query("block_reverse", f"WITH {BLOCKED} SELECT s1_id, cand_id, rev, round(score, 4) AS score FROM ranks WHERE rev < 3")
+def block_reverse(spark, d):
+    return B.searched(document_weights(spark, d)).where("rev IS NOT NULL").select("s1_id", "cand_id", F.col("rev").cast("long").alias("rev"), F.round("score", 4).alias("score"))
 
 
-@gated("block_union", f"WITH {BLOCKED}, {D.candidates()} SELECT country_key, s1_id, cand_id, round(score, 4) AS score, fwd_rank, rev_rank FROM cand")
-def block_union(spark, d, max_df: int = MAX_DF):
-    return B.candidates(document_scores(spark, d, max_df=max_df)).withColumn("score", F.round("score", 4)).withColumns({"fwd_rank": F.col("fwd_rank").cast("int"), "rev_rank": F.col("rev_rank").cast("int")})
+@query("block_union", f"WITH {BLOCKED}, {D.candidates()} SELECT country_key, s1_id, cand_id, round(score, 4) AS score, fwd_rank, rev_rank FROM cand")
+def block_union(spark, d):
+    return B.candidates(document_weights(spark, d)).withColumn("score", F.round("score", 4)).withColumns({"fwd_rank": F.col("fwd_rank").cast("int"), "rev_rank": F.col("rev_rank").cast("int")})
 
 
 _RECALL = " UNION ALL ".join(
@@ -143,12 +131,12 @@ _RECALL = " UNION ALL ".join(
 )
 
 
-@gated("block_recall_at_k", f"WITH {BLOCKED}, {D.TRUTH}, hits AS (SELECT fwd, rev FROM truth t LEFT JOIN ranks r ON r.s1_id = t.s1 AND r.cand_id = t.m) {_RECALL}")
-def block_recall_at_k(spark, d, max_df: int = MAX_DF):
-    return B.recall_at(R.document_truth(spark, d), B.ranked(document_scores(spark, d, max_df=max_df)))
+@query("block_recall_at_k", f"WITH {BLOCKED}, {D.TRUTH}, hits AS (SELECT fwd, rev FROM truth t LEFT JOIN ranks r ON r.s1_id = t.s1 AND r.cand_id = t.m) {_RECALL}")
+def block_recall_at_k(spark, d):
+    return B.recall_at(R.document_truth(spark, d), B.searched(document_weights(spark, d), 100, 5))
 
 
-@gated(
+@query(
     "block_retriever_union",
     f"""WITH {D.PREPARED}, {D.tokens("combo")}, {D.weighted(LEAST_DF, MAX_DF)}, {D.SCORES}, r1 AS (SELECT s1_id, cand_id, fwd FROM ranks WHERE fwd < 20),
 nt AS (SELECT entity_id, country_key, side, unnest(list_distinct(cw)) AS token FROM k1), {D.weighted(LEAST_DF, MAX_DF, "nt", "nw")},
@@ -156,9 +144,9 @@ s2 AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, sum(a.w * b.w) AS sc
 r2 AS (SELECT * FROM (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 6) DESC, cand_id) - 1 AS fwd FROM s2) WHERE fwd < 10)
 SELECT coalesce(r1.s1_id, r2.s1_id) AS s1_id, coalesce(r1.cand_id, r2.cand_id) AS cand_id, r1.fwd AS r_combo, r2.fwd AS r_name_words FROM r1 FULL JOIN r2 ON r1.s1_id = r2.s1_id AND r1.cand_id = r2.cand_id""",
 )
-def block_retriever_union(spark, d, max_df: int = MAX_DF):
-    a = B.ranked(document_scores(spark, d, "combo", max_df)).where("fwd < 20").select("s1_id", "cand_id", F.col("fwd").alias("r_combo"))
-    b = B.ranked(document_scores(spark, d, "name_words", max_df)).where("fwd < 10").select("s1_id", "cand_id", F.col("fwd").alias("r_name_words"))
+def block_retriever_union(spark, d):
+    a = B.searched(document_weights(spark, d, "combo")).where("fwd IS NOT NULL").select("s1_id", "cand_id", F.col("fwd").alias("r_combo"))
+    b = B.searched(document_weights(spark, d, "name_words"), 10, 1).where("fwd IS NOT NULL").select("s1_id", "cand_id", F.col("fwd").alias("r_name_words"))
     return a.join(b, ["s1_id", "cand_id"], "full").select("s1_id", "cand_id", "r_combo", "r_name_words")
 
 
@@ -169,9 +157,9 @@ def block_structured(spark, d):
     return j.select(F.col("n_name").alias("country"), F.col("c_custkey").alias("s1_id"), F.col("s_suppkey").alias("cand_id"))
 
 
-@gated("ctx_group_stats", f"WITH {BLOCKED}, {D.candidates()} SELECT s1_id, cand_id, round(max(score) OVER (PARTITION BY s1_id), 4) AS s1_max, count(*) OVER (PARTITION BY s1_id) AS s1_n, round(max(score) OVER (PARTITION BY cand_id), 4) AS cand_max, count(*) OVER (PARTITION BY cand_id) AS cand_n FROM cand")
-def ctx_group_stats(spark, d, max_df: int = MAX_DF):
-    s = B.group_stats(B.candidates(document_scores(spark, d, max_df=max_df)))
+@query("ctx_group_stats", f"WITH {BLOCKED}, {D.candidates()} SELECT s1_id, cand_id, round(max(score) OVER (PARTITION BY s1_id), 4) AS s1_max, count(*) OVER (PARTITION BY s1_id) AS s1_n, round(max(score) OVER (PARTITION BY cand_id), 4) AS cand_max, count(*) OVER (PARTITION BY cand_id) AS cand_n FROM cand")
+def ctx_group_stats(spark, d):
+    s = B.group_stats(B.candidates(document_weights(spark, d)))
     return s.select("s1_id", "cand_id", F.round("s1_max", 4).alias("s1_max"), "s1_n", F.round("cand_max", 4).alias("cand_max"), "cand_n")
 
 

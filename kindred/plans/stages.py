@@ -85,7 +85,7 @@ def linkage_stages(sf_dir: str, tau: float = 0.02, miss: float = 0.02, max_df: i
 
     return [
         Stage("prepared", lambda spark, t: records.prepared_documents(spark, sf_dir), (), {"tables": sf_dir}),
-        Stage("candidates", lambda spark, t: blocking.candidates(blocking.scored_pairs(blocking.weighted(t["prepared"], max_df=max_df))), ("prepared",), {"max_df": max_df}, "country_key"),
+        Stage("candidates", lambda spark, t: blocking.candidates(blocking.weighted(t["prepared"], max_df=max_df)), ("prepared",), {"max_df": max_df}, "country_key"),
         Stage("features", lambda spark, t: features.build(t["candidates"], t["prepared"]), ("prepared", "candidates"), {"strings": True}),
         Stage("scored", cascade, ("prepared", "features"), {"tau": tau}),
         Stage("matches", matches, ("prepared", "scored"), {"miss": miss}),

@@ -71,13 +71,28 @@ def test_best_other_value(spark):
     assert got == {1: (0.6, 0, 1), 2: (0.9, 1, 1), 3: (0.9, 2, 2), 4: (None, 0, 0)}
 
 
-def test_candidates_equal_the_outer_join_of_both_searches(spark):
+@pytest.mark.parametrize(("matches", "block"), [(4_000_000, (250, 1000)), (50, (7, 5))])
+def test_candidates_equal_the_outer_join_of_both_searches(spark, monkeypatch, matches, block):
+    """The block search against one join over all pairs, in one block and in many, with ties."""
+    monkeypatch.setattr(B, "MATCHES", matches)
+    monkeypatch.setattr(B, "LEAST_BLOCK", block)
     rng = random.Random(7)
-    s = spark.createDataFrame([("x", a, b, float(rng.randint(1, 9)) / 10) for a in range(12) for b in range(100, 125) if rng.random() < 0.6], "country_key string, s1_id long, cand_id long, score double")
-    r = B.ranked(s)
+    rows = [(c, f"t{t}", f"{c}{i}", 1 + i % 2, rng.choice([0.1, 0.2, 0.5])) for c in "xy" for i in range(70) for t in rng.sample(range(40), 6)]
+    rows += [("z", "t1", "z1", 1, 0.5), ("w", "t1", "w2", 2, 0.5), ("v", "t1", "v1", 1, 0.5), ("v", "t2", "v2", 2, 0.5)]  # a side or a shared token is missing
+    w = spark.createDataFrame(rows, "country_key string, token string, entity_id string, side int, w double")
+    r = B.ranked(B.scored_pairs(w))
     fwd, rev = r.where("fwd < 4").select("s1_id", "cand_id", "fwd"), r.where("rev < 2").select("s1_id", "cand_id", "rev")
-    want = {(x["s1_id"], x["cand_id"], 4 if x["fwd"] is None else x["fwd"], 2 if x["rev"] is None else x["rev"]) for x in fwd.join(rev, ["s1_id", "cand_id"], "full").collect()}
-    assert {(x["s1_id"], x["cand_id"], x["fwd_rank"], x["rev_rank"]) for x in B.candidates(s, 4, 2).collect()} == want
+    want = {(x["s1_id"], x["cand_id"], x["fwd"], x["rev"]) for x in fwd.join(rev, ["s1_id", "cand_id"], "full").collect()}
+    assert {(x["s1_id"], x["cand_id"], x["fwd"], x["rev"]) for x in B.searched(w, 4, 2).collect()} == want
+    got = {(x["s1_id"], x["cand_id"], x["fwd_rank"], x["rev_rank"]) for x in B.candidates(w, 4, 2).collect()}
+    assert got == {(a, b, 4 if f is None else f, 2 if g is None else g) for a, b, f, g in want}
+    assert B.candidates(w.limit(0)).count() == 0
+
+
+def test_both_searches_stop_early(spark):
+    """Each direction keeps the first rows of a group before it sorts what has been shuffled."""
+    w = spark.createDataFrame([("x", "t", i, 1 + i % 2, 0.5) for i in range(9)], "country_key string, token string, entity_id long, side int, w double")
+    assert B.searched(w)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
 
 
 def test_checks_find_each_violation(spark):
