@@ -76,7 +76,7 @@ def linkage_stages(sf_dir: str, tau: float = 0.02, miss: float = 0.02, max_df: i
     from ..sources import records
 
     def cascade(spark, t):
-        return model.cascade(t["features"], records.document_truth(spark, sf_dir), lambda kept: features.second_stage(kept, t["prepared"]), tau)
+        return model.cascade(t["features"], records.document_truth(spark, sf_dir), lambda kept: features.second_stage(kept, t["prepared"]), features.second_columns, tau)[0]
 
     def matches(spark, t):
         p = t["scored"].select(F.col("s1_id").alias("s1"), F.col("cand_id").alias("m"), "prob")

@@ -14,7 +14,8 @@ registry.load()
 
 def test_string_metrics_reach_the_models(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(model, "cascade", lambda features, *_: (seen.append(set(features.columns)), features.selectExpr("s1_id", "cand_id", "0.5D AS p1", "0.5D AS prob"))[1])
+    out = "s1_id", "cand_id", "'enc' AS part", "0.5D AS p1", "'match' AS p1_by", "0.5D AS prob", "'match' AS prob_by"
+    monkeypatch.setattr(model, "cascade", lambda features, *_: (seen.append(set(features.columns)), (features.selectExpr(*out), {}))[1])
     registry.QUERIES["model_cascade"](spark, SMALL)
     s = {x.name: x for x in stages.linkage_stages(SMALL)}
     prepared = s["prepared"].make(spark, {})
