@@ -223,16 +223,17 @@ def record_text(name: Column, address: Column, country: Column) -> Column:
 
 
 def corrupt(text: Column, seed: Column) -> Column:
-    """One corruption decided by a hash of seed and text: drop a word, swap two letters, or swap two words."""
-    ws, h = words(text), F.xxhash64(seed, text)
+    """One corruption decided by a digest of seed and text: drop a word, swap two letters, or swap two words."""
+    ws = words(text)
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat(seed.cast("string"), F.lit(" "), text)), 7 * i + 1, 7), 16, 10).cast("int")
     n = F.size(ws)
-    at = (F.pmod(F.xxhash64(h), F.greatest(n, F.lit(1))) + 1).cast("int")
+    at = drawn(0) % F.greatest(n, F.lit(1)) + 1
     dropped = F.array_join(F.filter(ws, lambda w, i: i + 1 != at), " ")
     next_ = F.when(at < n, at + 1).otherwise(F.lit(1))
     swapped = F.array_join(F.transform(ws, lambda w, i: F.when(i + 1 == at, F.get(ws, next_ - 1)).when(i + 1 == next_, F.get(ws, at - 1)).otherwise(w)), " ")
-    p = (F.pmod(F.xxhash64(h, F.lit(1)), F.greatest(F.length(text) - 1, F.lit(1))) + 1).cast("int")
+    p = drawn(1) % F.greatest(F.length(text) - 1, F.lit(1)) + 1
     letters = F.concat(F.substring(text, F.lit(1), p - 1), F.substring(text, p + 1, F.lit(1)), F.substring(text, p, F.lit(1)), F.substring(text, p + 2, F.length(text)))
-    kind = F.pmod(h, F.lit(3))
+    kind = drawn(2) % 3
     return F.when(n < 2, text).when(kind == 0, dropped).when(kind == 1, letters).otherwise(swapped)
 
 

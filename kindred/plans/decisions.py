@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import analysis as A
 from ..operators import decide as D
 from ..operators import metrics as M
+from ..operators.model import fit_quality
 from ..sources import records as R
 from ..sources.session import cut, table
 from .registry import query
@@ -160,6 +161,63 @@ def prune_choice(spark, d):
     return D.chosen_prune(prune_sweep(spark, d))
 
 
+@query("prune_sizes", f"WITH {P}, n AS (SELECT country, tau, count(DISTINCT s1) AS entities, count(*) FILTER (WHERE p1 >= tau) AS pairs FROM p, (SELECT unnest([{TAUS}]::DOUBLE[]) AS tau) GROUP BY country, tau) SELECT *, round(pairs / entities, 6) AS pairs_per_entity FROM n")
+def prune_sizes(spark, d):
+    return D.candidate_sizes(pairs(spark, d))
+
+
+@query("metric_fit", f"WITH {P}, q AS (SELECT least(greatest(prob, 1e-6), 1 - 1e-6) AS x, prob, tr.m IS NOT NULL AS hit FROM p LEFT JOIN tr USING (s1, m)) SELECT count(*) AS pairs, round(-avg(CASE WHEN hit THEN ln(x) ELSE ln(1 - x) END), 6) AS logloss, round(avg(((prob >= 0.5) = hit)::INT), 6) AS accuracy FROM q")
+def metric_fit(spark, d):
+    p = pairs(spark, d)
+    return fit_quality(p.join(truth(p).withColumn("_t", F.lit(1)), ["s1", "m"], "left").withColumn("label", F.coalesce("_t", F.lit(0))))
+
+
+#: Models by their probability, one to one each; a tenth of the entities validates the choice, another one the chosen.
+RULES = f"""vp AS (SELECT s1, CASE WHEN s1 % 10 = 0 THEN 'valA' ELSE 'valB' END AS part FROM ent WHERE s1 % 10 IN (0, 5)),
+mp AS (SELECT 'first' AS model, s1, m, p1 AS prob FROM p UNION ALL SELECT 'second', s1, m, prob FROM p),
+o AS (SELECT model, part, s1, m, prob FROM (SELECT *, row_number() OVER (PARTITION BY model, m ORDER BY prob DESC, s1) AS r FROM mp) JOIN vp USING (s1) WHERE r = 1),
+nt AS (SELECT s1, count(*) AS nt FROM tr GROUP BY s1),
+tg AS (SELECT model, part, s1, param, 'threshold' AS rule FROM vp, (SELECT DISTINCT model FROM mp), (SELECT unnest([{", ".join(map(str, D.FINAL_GRID))}]::DOUBLE[]) AS param)),
+tk AS (SELECT model, part, s1, m, param, 'threshold' AS rule FROM o JOIN (SELECT unnest([{", ".join(map(str, D.FINAL_GRID))}]::DOUBLE[]) AS param) ON prob >= param),
+""" + "".join(f"e{i} AS (SELECT model, part, s1, m, {x}::DOUBLE AS param, 'expected_f' AS rule FROM {expected_sql('o', x, 'model, part, ')})," for i, x in enumerate(D.MISSES)) + f"""
+eg AS (SELECT model, part, s1, param, 'expected_f' AS rule FROM vp, (SELECT DISTINCT model FROM mp), (SELECT unnest([{", ".join(map(str, D.MISSES))}]::DOUBLE[]) AS param)),
+ek AS ({" UNION ALL ".join(f"SELECT * FROM e{i}" for i in range(len(D.MISSES)))}),
+g AS (SELECT * FROM tg UNION ALL SELECT * FROM eg), k AS (SELECT * FROM tk UNION ALL SELECT * FROM ek),
+kc AS (SELECT model, part, s1, param, rule, count(*) AS np, count(tr.m) AS nh FROM k LEFT JOIN tr USING (s1, m) GROUP BY ALL),
+sc AS (SELECT model, rule, param, part, round(avg(CASE WHEN coalesce(np, 0) = 0 AND coalesce(nt, 0) = 0 THEN 1.0 ELSE 1.25 * coalesce(nh, 0) / (coalesce(np, 0) + 0.25 * coalesce(nt, 0)) END), 6) AS score FROM g LEFT JOIN kc USING (model, part, s1, param, rule) LEFT JOIN nt USING (s1) GROUP BY ALL),
+wide AS (SELECT model, rule, param, max(CASE WHEN part = 'valA' THEN score END) AS "valA", max(CASE WHEN part = 'valB' THEN score END) AS "valB" FROM sc GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, rule ORDER BY "valA" DESC, param) AS r FROM wide),
+rules AS (SELECT model, rule, param, "valA", "valB" FROM ranked WHERE r = 1)"""
+
+
+@query("rule_scores", f"WITH {P}, {RULES} SELECT * FROM rules")
+def rule_scores(spark, d):
+    p = cut(pairs(spark, d))
+    both = p.select("s1", "m", F.lit("first").alias("model"), F.col("p1").alias("prob")).union(p.select("s1", "m", F.lit("second"), "prob"))
+    part = F.when(F.col("s1") % 10 == 0, "valA").otherwise("valB")
+    validation = entities(spark, d).where("s1 % 10 IN (0, 5)").select("s1", part.alias("part"))
+    return D.rule_scores(D.one_to_one(both, "model"), truth(p), validation)
+
+
+@query("rule_choice", f"WITH {P}, {RULES} SELECT * FROM rules ORDER BY \"valA\" DESC, model, (rule <> 'threshold'), param LIMIT 1")
+def rule_choice(spark, d):
+    return D.choose(rule_scores(spark, d))
+
+
+@query("stage_accepted", f"WITH {P}, {RULES}, best AS (SELECT model, max(\"valA\") AS a FROM rules GROUP BY model) SELECT prune, ((SELECT a FROM best WHERE model = 'second') - (SELECT a FROM best WHERE model = 'first') > 0.0005 OR prune > 0) AS accepted FROM (SELECT unnest([0.0, 0.02]::DOUBLE[]) AS prune)")
+def stage_accepted(spark, d):
+    """D15, without and with pruning."""
+    best = {r["model"]: r["a"] for r in rule_scores(spark, d).groupBy("model").agg(F.max("valA").alias("a")).collect()}  # a row per model
+    return spark.createDataFrame([(t, D.accept_stage(best["first"], best["second"], t)) for t in (0.0, 0.02)], "prune double, accepted boolean")
+
+
+@query("split_fresh", """WITH used AS (SELECT o_orderkey AS s1 FROM orders WHERE o_orderkey % 3 = 0) SELECT o_orderkey AS s1 FROM orders WHERE o_orderkey NOT IN (SELECT s1 FROM used) ORDER BY o_orderkey * 104729 % 1000, o_orderkey LIMIT 300""")
+def split_fresh(spark, d):
+    """D3: entities that nobody trained on, the first by an order; the sample is the feature."""
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("s1"))
+    return A.fresh(e, e.where("s1 % 3 = 0"), 300, F.col("s1") * 104729 % 1000)
+
+
 @query("metric_micro", f"WITH {P}, {CHOSEN}, {per_entity_sql('pred')} SELECT country, sum(tp)::BIGINT AS tp, sum(n_pred)::BIGINT AS n_pred, sum(n_true)::BIGINT AS n_true, round(sum(tp) / sum(n_pred), 6) AS precision, round(sum(tp) / sum(n_true), 6) AS recall, round(1.25 * sum(tp) / (sum(n_pred) + 0.25 * sum(n_true)), 6) AS f05 FROM per GROUP BY ROLLUP (country)")
 def metric_micro(spark, d):
     return M.micro(graded(spark, d), "country")

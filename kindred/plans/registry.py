@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import decisions, features, linkage, models, streams  # noqa: F401
+    from . import decisions, features, linkage, models, stores, streams  # noqa: F401

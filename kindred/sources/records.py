@@ -29,6 +29,12 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df if columns is None else df.select(*columns)
 
 
+def read_range(spark: SparkSession, path: str, column: str, low: float, columns: list[str] | None = None) -> DataFrame:
+    """IO6: rows of stored predictions at or above a bound, which reaches the scan."""
+    df = spark.read.parquet(path).where(F.col(column) >= low)
+    return df if columns is None else df.select(*columns)
+
+
 def rows_with_ids(df: DataFrame, ids: DataFrame, key: str = "entity_id") -> DataFrame:
     """IO5: the rows of given ids, as a semi-join whose side the planner broadcasts only if it is small."""
     return df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +25,7 @@ def local_session(app: str = "kindred", cores: str | int | None = None) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,13 +44,28 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Only in local mode, where there is one machine, is it made up."""
     named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not context.getCheckpointDir():
+        if not named and not re.match(r"local(\[[^]]*\])?$", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "kindred-checkpoints"))
     return named or os.path.dirname(context.getCheckpointDir())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, on whatever file system that is; it is deleted when this process ends."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    atexit.register(delete)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared checkpoint folder from then on; lost executors lose nothing of it."""
     checkpoint_dir(df.sparkSession)

@@ -127,6 +127,24 @@ def test_parquet_columns_and_pushdown(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(1,)] and "EqualTo(country_key,x)" in plan and "struct<country_key:string,a:int>" in plan
 
 
+def test_range_reaches_the_scan(spark, tmp_path):
+    R.write_parquet(spark.createDataFrame([(1, 0.5), (2, 0.95)], "s1 int, prob double"), str(tmp_path / "p"))
+    df = R.read_range(spark, str(tmp_path / "p"), "prob", 0.9, ["s1"])
+    assert [r["s1"] for r in df.collect()] == [2] and "GreaterThanOrEqual(prob,0.9)" in df._jdf.queryExecution().toString()
+
+
+def test_threshold_macro_is_that_of_each_threshold(spark):
+    rng = random.Random(9)
+    p = spark.createDataFrame([(s, 10 * s + k, "one", round(rng.random(), 2)) for s in range(30) for k in range(rng.randint(0, 4))], "s1 long, m long, model string, prob double")
+    t = spark.createDataFrame([(s, 10 * s + rng.randint(0, 4)) for s in range(0, 30, 2)], "s1 long, m long")
+    e = spark.range(32).select(F.col("id").alias("s1"), F.lit("one").alias("model"))
+    values = [0.1, 0.3, 0.5, 0.9]
+    got = {r["param"]: r["score"] for r in D.threshold_macro(p, t, e, values, "model").collect()}
+    for v in values:
+        want = M.entity_table(D.threshold(p, v), t, e.select("s1")).agg(F.round(F.avg("f"), 6)).first()[0]
+        assert got[v] == pytest.approx(want)
+
+
 def test_model_round_trip_and_unknowns(spark, tmp_path):
     rows = spark.createDataFrame([(float(i % 7), None if i % 3 else float(i), float(i % 7 > 3)) for i in range(60)], "a double, b double, label double")
     m = model.train(rows, ["a", "b"])
