@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +28,13 @@ def latin_table() -> dict[str, str]:
 
 SINGLE = {c: p for c, p in latin_table().items() if len(p) == 1}
 DOUBLE = {c: p for c, p in latin_table().items() if len(p) > 1}
+#: Letters of other scripts that their names don't say the sound of: Cyrillic names, and Greek ones that stand for two letters.
+CYRILLIC = {"ie": "e", "ghe": "g", "yeru": "y", "sign": "", "io": "yo"}
+GREEK = {"theta": "th", "phi": "ph", "chi": "ch", "psi": "ps"}
 
 
 def _sound_of(c: str) -> str:
-    """A character of another script in Latin letters, by its Unicode name: consonant letters without their inherent a."""
+    """A character of another script in Latin letters, by its Unicode name: consonants without the vowel that only names them."""
     name = unicodedata.name(c, "")
     last = name.split(" WITH ")[0].split()[-1:] or [""]
     word = last[0].lower()
@@ -41,23 +44,50 @@ def _sound_of(c: str) -> str:
         return str(unicodedata.decimal(c))
     if "LETTER" not in name and "VOWEL SIGN" not in name:
         return " "
-    if "LETTER" in name and len(word) > 1 and word.endswith("a"):
+    if name.startswith("CYRILLIC"):
+        word = CYRILLIC.get(word, word)
+        if len(word) > 1 and word[0] != "y":  # be, em, sha: b, m, sh
+            word = word.strip("aeiou") or word
+    elif name.startswith("GREEK"):
+        word = GREEK.get(word, word[:1])
+    elif name.startswith(("ARABIC", "HEBREW")):
+        word = re.match("[^aeiou]*", word)[0] or word[:1]
+    elif "LETTER" in name and len(word) > 1 and word.endswith("a"):
         word = word[:-1]
     return "".join(x for i, x in enumerate(word) if not i or x != word[i - 1] or x not in "dtln")
 
 
+class _Sounds(dict):
+    """Character -> Latin letters, each looked up once; there are no more characters than Unicode has."""
+
+    def __missing__(self, c: str) -> str:
+        value = self[c] = c if c.isascii() else LATIN.get(c) or _sound_of(c)
+        return value
+
+
+LATIN = latin_table()
+SOUNDS = _Sounds()
+
+
 def transliterate_text(text: str) -> str:
     """Any script to lower-case Latin letters."""
-    table = latin_table()
-    return "".join(c if ord(c) < 128 else table.get(c) or _sound_of(c) for c in text).lower()
+    return "".join(map(SOUNDS.__getitem__, text)).lower()
 
 
-def _transliterated(s: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(transliterate_text, na_action="ignore")
+#: Code points of scripts with letters: what comes after Latin Extended-B up to Thai. Other characters sound like nothing.
+FIRST_LETTER, LAST_LETTER = LAST_LATIN + 1, 0xE7F
+SPELLINGS = "\1".join(SOUNDS[chr(p)] for p in range(FIRST_LETTER, LAST_LETTER + 1))
 
-    return run(s)
+
+def spelled(s: Column) -> Column:
+    """Letters of other scripts in Latin ones, by one array that is looked into at the code point."""
+    table = F.split(F.lit(SPELLINGS), "\1")  # folded into a constant
+
+    def sound(c: Column) -> Column:
+        p = F.ascii(c)
+        return F.when(p < FIRST_LETTER, c).when(p <= LAST_LETTER, F.get(table, p - FIRST_LETTER)).otherwise(" ")
+
+    return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), sound), "")
 
 
 def latin(s: Column) -> Column:
@@ -67,14 +97,11 @@ def latin(s: Column) -> Column:
     return F.translate(s, "".join(SINGLE), "".join(SINGLE.values()))
 
 
-def plain(s: Column, scripts: bool = False) -> Column:
-    """Degree and ordinal signs to spaces, any letters to lower-case ASCII.
-
-    With `scripts`, texts that hold other scripts go through an Arrow UDF; Latin ones never leave the JVM.
-    """
+def plain(s: Column) -> Column:
+    """Degree and ordinal signs to spaces, any letters of any script to lower-case ASCII; nothing leaves the JVM."""
     s = F.regexp_replace(s, "[°º]", " ")
-    made = F.lower(latin(s))
-    return F.when(has_other_script(s), _transliterated(s)).otherwise(made) if scripts else made
+    made = latin(s)
+    return F.lower(F.when(has_other_script(s), spelled(made)).otherwise(made))
 
 
 def has_other_script(s: Column) -> Column:
@@ -93,7 +120,7 @@ def letters_and_digits(s: Column) -> Column:
 
 
 def clean(s: Column) -> Column:
-    """All of S1-S6, of Latin letters; null is empty. Other scripts go through prepare, whose steps are columns."""
+    """All of S1-S6, of any script; null is empty."""
     s = F.translate(plain(F.coalesce(s, F.lit(""))), "'`", "")
     return letters_and_digits(join_dotted(collapse_urls(s)))
 
@@ -237,12 +264,12 @@ def corrupt(text: Column, seed: Column) -> Column:
     return F.when(n < 2, text).when(kind == 0, dropped).when(kind == 1, letters).otherwise(swapped)
 
 
-def prepare(records: DataFrame, scripts: bool = False) -> DataFrame:
+def prepare(records: DataFrame) -> DataFrame:
     """Normalised columns beside entity_id, business_name, business_address, country.
 
     The steps of S10 and S19, one column after another: a column that a step uses more than once is computed once.
     """
-    first = lambda s: collapse_urls(F.translate(plain(F.coalesce(s, F.lit("")), scripts), "'`", ""))
+    first = lambda s: collapse_urls(F.translate(plain(F.coalesce(s, F.lit(""))), "'`", ""))
     df = records.withColumns({"country_key": country_key(F.col("country")), "name_nonlatin": has_other_script(F.col("business_name")), "_n": first(F.col("business_name")), "_a": F.coalesce("business_address", F.lit(""))})
     df = df.withColumns({"_n": join_dotted(F.col("_n")), "_a": first(drop_mixed_script(F.col("_a")))})
     df = df.withColumns({"_n": letters_and_digits(F.col("_n")), "_a": join_dotted(F.col("_a"))})

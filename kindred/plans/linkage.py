@@ -58,6 +58,17 @@ def norm_pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(X.clean(F.regexp_replace("html", "<[^>]*>", " "))).alias("text_digest"))
 
 
+#: Latin letters and the Cyrillic ones that sound like them.
+SPELLED = ("abdefgiklmnoprstuvz", "абдэфгиклмнопрстувз")
+
+
+@query("norm_scripts", f"SELECT p_partkey, {D.letters('lower(p_name)')} AS name_clean FROM part")
+def norm_scripts(spark, d):
+    """Names of parts, every other one spelled in Cyrillic letters: transliteration undoes that."""
+    name = F.when(F.col("p_partkey") % 2 == 1, F.translate(F.lower("p_name"), *SPELLED)).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", X.clean(name).alias("name_clean"))
+
+
 @query("norm_unleet", "SELECT p_partkey, " + D.join(f"list_transform({D.words(chr(99))}, lambda t: {D.unleet('t')})") + " AS unleet FROM (SELECT p_partkey, lower(p_name) || ' ' || translate(lower(p_brand), '#', '') AS c FROM part)")
 def norm_unleet(spark, d):
     c = F.concat(F.lower("p_name"), F.lit(" "), F.translate(F.lower("p_brand"), "#", ""))

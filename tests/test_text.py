@@ -38,8 +38,12 @@ def test_core_names(spark):
 
 def test_scripts(spark):
     assert X.transliterate_text("డిజిటల్ టెక్") == "dijitl tek"
+    assert X.transliterate_text("Ольга Петрова, Юрий Щукин") == "olga petrova, yurii shchukin" and X.transliterate_text("Αθήνα ψαρι") == "athena psari"
+    assert X.transliterate_text("née Straße ١٢") == "nee strasse 12"
+    for t in ("Ольга Петрова, Юрий Щукин", "Αθήνα ψαρι", "née Straße ١٢", "డిజిటల్ టెక్", "नई दिल्ली", "a – b’s 中文 😀 \u0301"):
+        assert one(spark, X.plain, t).split() == X.transliterate_text(t).split()
     r = spark.createDataFrame([("1", "డిజిటల్ టెక్", "12 Main Street", " India ")], "entity_id string, business_name string, business_address string, country string")
-    got = X.prepare(r, scripts=True).first()
+    got = X.prepare(r).first()
     assert (got["name_n"], got["name_nonlatin"], got["addr_n"], got["country_key"], got["nums"]) == ("dijitl tek", True, "12 main st", "india", ["12"])
     assert one(spark, X.drop_mixed_script, "new delhi दिल्ली") == "new delhi"
     assert one(spark, X.drop_mixed_script, "delhi दिल्ली") == "delhi दिल्ली"  # exactly half stays
