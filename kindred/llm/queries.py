@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.session import checkpoint_dir
+from ..sources.session import scratch
 from . import byte_bpe, decontamination, embedding_links, lm_score, near_duplicates, pii, quality, secrets, token_files, url_filter
 
 
@@ -22,12 +19,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-#: The key of the queries' surrogates; a production run passes its own secret.
-SECRET = "kindred"
+def secret(spark: SparkSession) -> str:
+    """The key of surrogates: spark.kindred.secret of the session. Without it a known one is used, which keeps nothing secret: for tests."""
+    return spark.conf.get("spark.kindred.secret", None) or "no secret was set"
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), SECRET)
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +59,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
+    folder = scratch(spark, "token-files")
     manifest = token_files.write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_tokens(spark, folder, manifest)
 
