@@ -81,6 +81,27 @@ def sound_keys(spark, d):
     return w.select("word", X.sound_key(F.col("word")).alias("sound"))
 
 
+SPOKEN = "lower(c_name) || ' pvt ltd co ' || lower(c_mktsegment)"
+
+
+@query("norm_tokenmap", "SELECT c_custkey, " + D.join(f"list_transform({D.words(SPOKEN)}, lambda t: coalesce({D.table(X.L.NAME_ABBREVIATIONS)}[t], t))") + " AS mapped FROM customer")
+def norm_tokenmap(spark, d):
+    """Abbreviations of names, word by word."""
+    return table(spark, d, "customer").select("c_custkey", X.map_words(F.expr(SPOKEN), X.L.NAME_ABBREVIATIONS).alias("mapped"))
+
+
+NUMBERED = "c_custkey || ' no ' || lpad(c_custkey::VARCHAR, 6, '0') || ' b 090 ' || c_nationkey || ' 12345'"
+FOUND = "list_sort(list_distinct(regexp_extract_all(t, '[0-9]+')))"
+
+
+@query("nums_postal", f"SELECT c_custkey, {D.join(FOUND)} AS nums, {D.join(f'list_filter({FOUND}, lambda n: length(n) IN (5, 6))')} AS postal, {D.join(f'list_transform({FOUND}, lambda n: ' + D.number('n') + ')')} AS bare FROM (SELECT c_custkey, {NUMBERED} AS t FROM customer)")
+def nums_postal(spark, d):
+    """Numbers of an address, those that may be postal codes, and without leading zeros."""
+    t = F.expr(NUMBERED.replace("c_custkey::VARCHAR", "string(c_custkey)"))
+    n = table(spark, d, "customer").select("c_custkey", X.numbers(t).alias("n"))
+    return n.select("c_custkey", F.array_join("n", " ").alias("nums"), F.array_join(X.postal(F.col("n")), " ").alias("postal"), F.array_join(F.transform("n", X.bare_number), " ").alias("bare"))
+
+
 def _token_query(name: str, retriever: str, make):
     sql = f"WITH {D.PREPARED}, {D.tokens(retriever)} SELECT entity_id, len(tokens)::INT AS n_tokens, {_sql_digest('tokens')} AS tokens_digest FROM lists"
 
@@ -113,6 +134,13 @@ def idf_weights(spark, d):
     return w.groupBy("entity_id").agg(F.count("*").alias("n_tokens"), F.round(F.sum("idf"), 4).alias("idf_sum"), F.round(F.max("w"), 6).alias("w_max"), F.round(F.sum(F.col("w") * F.col("w")), 6).alias("w_norm"))
 
 
+@query("l2_norm", f"WITH {D.PREPARED}, {D.tokens('uni')}, {D.weighted(LEAST_DF, MAX_DF)}, n AS (SELECT country_key, entity_id, sum(w * w) AS s FROM wt GROUP BY ALL) SELECT country_key, count(*) AS records, sum((abs(s - 1) < 1e-9)::BIGINT)::BIGINT AS of_length_one FROM n GROUP BY country_key")
+def l2_norm(spark, d):
+    """Every record that has a token left has a vector of length one."""
+    n = B.weighted(R.prepared_documents(spark, d), "uni", LEAST_DF, MAX_DF).groupBy("country_key", "entity_id").agg(F.sum(F.col("w") * F.col("w")).alias("s"))
+    return n.groupBy("country_key").agg(F.count("*").alias("records"), F.count_if(F.abs(F.col("s") - 1) < 1e-9).alias("of_length_one"))
+
+
 def document_weights(spark, d, retriever: str = "combo_ph") -> DataFrame:
     return B.weighted(R.prepared_documents(spark, d), retriever, LEAST_DF, MAX_DF)
 
@@ -161,6 +189,23 @@ def block_retriever_union(spark, d):
     return a.join(b, ["s1_id", "cand_id"], "full").select("s1_id", "cand_id", "r_combo", "r_name_words")
 
 
+#: Benchmark items as source 1 (below zero, apart from documents' ids), all documents as the pool, in one block.
+ITEMS = f"""
+r0 AS (SELECT -1 - item_id AS entity_id, 1 AS side, text FROM benchmark UNION ALL SELECT doc_id, 2, text FROM documents),
+r1 AS (SELECT entity_id, side, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda t: t <> '') AS w FROM r0),
+rec AS (SELECT entity_id, array_to_string(w[1:{R.NAME_WORDS}], ' ') AS business_name, array_to_string(w[{R.NAME_WORDS + 1}:], ' ') AS business_address, '' AS country, side, false AS is_s3 FROM r1)"""
+
+
+@query("link_benchmark", f"WITH {D.PREPARED.replace(D.RECORDS, ITEMS)}, {D.tokens('uni')}, {D.weighted(LEAST_DF, MAX_DF)}, {D.SCORES} SELECT -1 - s1_id AS item_id, cand_id AS doc_id, fwd, round(score, 4) AS score FROM ranks WHERE fwd < 3")
+def link_benchmark(spark, d):
+    """The three documents nearest to each benchmark item."""
+    items = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("entity_id"), "text", F.lit(1).alias("side"))
+    records = items.unionByName(table(spark, d, "documents").select(F.col("doc_id").alias("entity_id"), "text", F.lit(2).alias("side")))
+    p = X.prepare(R.text_records(records).withColumns({"country": F.lit(""), "is_s3": F.lit(False)}))
+    found = B.searched(B.weighted(p, "uni", LEAST_DF, MAX_DF), 3, 1).where("fwd IS NOT NULL")
+    return found.select((-1 - F.col("s1_id")).alias("item_id"), F.col("cand_id").alias("doc_id"), F.col("fwd").cast("long").alias("fwd"), F.round("score", 4).alias("score"))
+
+
 @query("block_structured", "SELECT n_name AS country, c_custkey AS s1_id, s_suppkey AS cand_id FROM customer c JOIN nation ON n_nationkey = c_nationkey JOIN supplier s ON s_nationkey = c_nationkey WHERE c_acctbal > s_acctbal")
 def block_structured(spark, d):
     c, s, n = (table(spark, d, x) for x in ("customer", "supplier", "nation"))

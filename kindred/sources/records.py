@@ -71,18 +71,19 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", lineSep="\n")
 
 
+def text_records(rows: DataFrame) -> DataFrame:
+    """rows with a business_name, the first words of `text`, and a business_address, all others, in its place."""
+    ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
+    d = rows.withColumn("_w", ws)
+    d = d.withColumn("business_name", F.array_join(F.slice("_w", 1, NAME_WORDS), " "))
+    return d.withColumn("business_address", F.array_join(F.slice("_w", NAME_WORDS + 1, F.greatest(F.size("_w"), F.lit(1))), " ")).drop("_w", "text")
+
+
 def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as business records: name the first words, address all others, country the language; side by source."""
-    ws = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: t != "")
-    df = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")).withColumn("w", ws)
-    return df.select(
-        F.col("doc_id").alias("entity_id"),
-        F.array_join(F.slice("w", 1, NAME_WORDS), " ").alias("business_name"),
-        F.array_join(F.slice("w", NAME_WORDS + 1, F.greatest(F.size("w"), F.lit(1))), " ").alias("business_address"),
-        F.col("lang").alias("country"),
-        F.when(F.col("source").isin(*FIRST_SOURCES), 1).otherwise(2).alias("side"),
-        F.col("source").isin(*THIRD_SOURCES).alias("is_s3"),
-    )
+    df = text_records(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))
+    side = F.when(F.col("source").isin(*FIRST_SOURCES), 1).otherwise(2).alias("side")
+    return df.select(F.col("doc_id").alias("entity_id"), "business_name", "business_address", F.col("lang").alias("country"), side, F.col("source").isin(*THIRD_SOURCES).alias("is_s3"))
 
 
 def prepared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
