@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..operators import analysis as A
 from ..operators import decide as D
 from ..operators import metrics as M
@@ -161,6 +162,30 @@ def prune_choice(spark, d):
     return D.chosen_prune(prune_sweep(spark, d))
 
 
+@query("sql_grouped", f"WITH {P} SELECT s1, round(exp(sum(ln(1 - prob))), 6) AS none_right FROM p GROUP BY s1")
+def sql_grouped(spark, d):
+    """A4 by the grouped-aggregate UDF, in SQL; the library's own plans use exp(sum(log1p))."""
+    register(spark)
+    pairs(spark, d).createOrReplaceTempView("kindred_pairs")
+    return spark.sql("SELECT s1, round(none_right(prob), 6) AS none_right FROM kindred_pairs GROUP BY s1")
+
+
+@query("sql_words", "SELECT p_partkey, generate_subscripts(w, 1)::INT - 1 AS place, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
+def sql_words(spark, d):
+    """Words of names by the table function, in SQL."""
+    register(spark)
+    table(spark, d, "part").createOrReplaceTempView("kindred_parts")
+    return spark.sql("SELECT p_partkey, place, word FROM kindred_parts, LATERAL words_of(p_name)")
+
+
+@query("sql_metrics", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 4) AS jw FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+def sql_metrics(spark, d):
+    """A string metric by its SQL name."""
+    register(spark)
+    table(spark, d, "part").createOrReplaceTempView("kindred_parts")
+    return spark.sql("SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler(a.p_name, b.p_name), 4) AS jw FROM kindred_parts a JOIN kindred_parts b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+
+
 @query("prune_sizes", f"WITH {P}, n AS (SELECT country, tau, count(DISTINCT s1) AS entities, count(*) FILTER (WHERE p1 >= tau) AS pairs FROM p, (SELECT unnest([{TAUS}]::DOUBLE[]) AS tau) GROUP BY country, tau) SELECT *, round(pairs / entities, 6) AS pairs_per_entity FROM n")
 def prune_sizes(spark, d):
     return D.candidate_sizes(pairs(spark, d))
