@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from kindred.plans import stages as S
 
 from .conftest import SMALL
@@ -26,6 +28,16 @@ def test_freshness_and_redo(spark, tmp_path):
     assert made == ["a", "b"]
     run([stage("a", k=2), *one[1:]], redo="b")
     assert made == ["b", "c"]
+    assert {x.name for x in tmp_path.iterdir()} >= {"a", "a.before", "b.before", "c.before"}  # what a stage made before is set aside
+
+    def fails(spark, t):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        run([stage("a", k=2), S.Stage("b", fails, ("a",), {}), stage("c")], redo="b")
+    assert made == [] and S.recorded(spark, f"{tmp_path}/b") is None  # nothing after it ran, and it isn't done
+    run([stage("a", k=2), *one[1:]])
+    assert made == ["b"]
     assert S.all_there(spark, [str(tmp_path)]) and not S.all_there(spark, [str(tmp_path), f"{tmp_path}/no"])
 
 
@@ -34,3 +46,5 @@ def test_linkage(spark, tmp_path):
     lists = done["matches"]
     assert lists.count() == done["prepared"].where("side = 1").count()
     assert lists.columns == ["source1_entity_id", "matched_entity_ids"]
+    report = {(r["part"], r["figure"]): r["value"] for r in done["report"].collect()}
+    assert 0 <= report["valB", "macro F0.5"] <= 1 and ("valB", "logloss of prob") in report
