@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,16 @@ def stable(df: DataFrame) -> DataFrame:
     return cut(df) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """df, after the session was told to delete the shuffle files of tables that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which may be long after: an iteration's files would add up till then.
+    """
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return df
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", how: str = "inner") -> DataFrame:
     """rows (materialised, it is read twice) joined to counted, a materialised row per key with the number n of rows that have it.
 
@@ -146,7 +157,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        e = settle(cut(small.union(low.select("u", F.col("m").alias("v"))).distinct()))
         after = sign(e)
         if after == before:
             break

@@ -7,10 +7,11 @@ exhaustively, any other branches again. At the threshold 0.75 a pair has one com
 still together at depth d of a tree with probability q(d), where q(0) = 1 and q(d + 1) = q - 3/16 q^2: 0.81, 0.69, 0.60,
 ... 0.32 at depth 10. All trees miss it with (1 - q(d)) ** TREES: 7e-11, 8e-8, 3e-6 at depths 1 to 3, 4e-3 at depth 10.
 
-Nodes that do not get smaller by branching, or are large at the greatest depth, hold sets that are much alike. They are
-compared in two rounds that miss nothing. First in chunks, each with the node's smallest class beside its own members:
-this is linear work, and joins what is like that class. Then every pair of the node that the links found so far have
-not joined yet: a group that one component covers costs nothing more.
+Large nodes are of two kinds: many documents that share a passage, which branch apart, and sets that are much alike, which
+don't. So nodes that are large at the first level are first compared in chunks, each with the node's smallest class beside
+its own members. This is linear work and joins what is alike. From then on only pairs of different components count:
+where all but a few classes of a node are one component, these few are compared with all, in blocks, which is linear too;
+any other node branches further. A node that is still large at the greatest depth is compared in blocks, missing nothing.
 
 Signatures only select who is compared; every link is confirmed on full sets.
 """
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WordHashes, connected_components, cut, integral, join_counted, lean, mix, ngram_hashes, only_ids, slices, word_hashes
+from .common import BROADCAST_IDS, WordHashes, connected_components, cut, integral, join_counted, lean, mix, ngram_hashes, only_ids, settle, slices, word_hashes
 
 WORDS, TREES, DEPTH = 5, 14, 10
-#: Classes in a node that are compared exhaustively; above it the node branches further, unless a child keeps more than SHRINKS of it.
-NODE, SHRINKS = 400, 0.9
+#: Classes in a node, or outside its largest component, that are compared exhaustively; above it the node branches further.
+NODE = 800
+#: Trees whose large nodes are compared in chunks: a group of alike sets is large in nearly all trees, and few join it.
+CHUNKED = 5
 #: Share of nodes that select two tokens and not one: 4 / 3 tokens a node.
 TWO = 1 / 3
 #: Least share of equal signature positions for a pair to be confirmed: 5.5 standard deviations below 0.75 at 64 positions.
@@ -39,6 +42,8 @@ PERCENT = 75
 SIGNATURE = 64
 #: Odd multipliers of the minwise hash functions, from a fixed seed.
 FACTORS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
+#: Bits of a node's name that hold the tree, at the first level.
+TREE = 15
 #: Pairs whose signatures are compared at a time.
 PAIRS = 100_000
 
@@ -66,22 +71,23 @@ def _words(batch):
 
 
 def sketch(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, n_shingles, print (of the whole set; null if empty), sig: one narrow pass over whole texts."""
+    """_id, n_shingles, print (of the whole set; null if empty), sig, short (its lower halves): one narrow pass over whole texts."""
 
     def run(batches):
         for ids, words in _words(batches):
             sets = [shingle_hashes(w) for w in words]
             full = [i for i, s in enumerate(sets) if len(s)]
             sig = signature([sets[i] for i in full]) if full else []
-            prints, sigs = [None] * len(sets), [None] * len(sets)
+            prints, sigs, shorts = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             for i, row in zip(full, sig, strict=True):
                 prints[i], sigs[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), row.tobytes()
+                shorts[i] = row.astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], names=["_id", "n_shingles", "print", "sig"]
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, sigs, shorts))], names=["_id", "n_shingles", "print", "sig", "short"]
             )
 
     source = docs.select(integral(docs, key).alias("_id"), F.col(text).cast("string").alias("_text"))
-    return source.mapInArrow(lean(run), "_id long, n_shingles long, print binary, sig binary")
+    return source.mapInArrow(lean(run), "_id long, n_shingles long, print binary, sig binary, short binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -104,46 +110,33 @@ def children(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _roots(batches):
-    """Rows (rep, sig) -> (rep, node, before): the children of all roots."""
+    """Rows (rep, sig) -> (rep, node): the children of all roots."""
     for batch in batches:
         sig = _signatures(batch.column("sig"))
         for tree in range(TREES):
             row, node = children(sig, np.full(len(sig), tree + 1, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(node.view(np.int64)), pa.nulls(len(row), pa.int64())], names=["rep", "node", "before"])
+            node = node & ~np.uint64(TREE) | np.uint64(tree)  # the first level's nodes tell their tree
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row)), pa.array(node.view(np.int64))], names=["rep", "node"])
 
 
 def _branches(batches):
-    """Rows (rep, sig, node, n) -> (rep, node, before): the children, and how many classes the parent has."""
+    """Rows (rep, sig, node, component) -> (rep, node, component): the children."""
     for batch in batches:
-        sig = _signatures(batch.column("sig"))
-        row, node = children(sig, batch.column("node").to_numpy().view(np.uint64))
+        row, node = children(_signatures(batch.column("sig")), batch.column("node").to_numpy().view(np.uint64))
         row = pa.array(row)
-        yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), pa.array(node.view(np.int64)), batch.column("n").take(row)], names=["rep", "node", "before"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep").take(row), pa.array(node.view(np.int64)), batch.column("component").take(row)], names=["rep", "node", "component"])
 
 
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rep, node) of small nodes of at least two classes, and (rep, node, n) of nodes that stay large, or None."""
-    made = classes.select("rep", "sig").mapInArrow(lean(_roots), "rep long, node long, before long")
-    small = large = None
-    for depth in range(1, DEPTH + 1):
-        sizes = cut(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
-        made = cut(join_counted(made, sizes, "node"))
-        done = made.where(F.col("n") <= NODE).select("rep", "node")
-        small = done if small is None else small.unionByName(done)
-        made = made.where(F.col("n") > NODE)
-        still = F.coalesce(F.col("n") > SHRINKS * F.col("before"), F.lit(False)) | F.lit(depth == DEPTH)
-        alike = made.where(still).select("rep", "node", "n")
-        large = alike if large is None else large.unionByName(alike)
-        rest = made.where(~still).select("rep", "node", "n")
-        if not rest.limit(1).count():
-            break
-        rest = rest.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "node", "n")
-        made = rest.mapInArrow(lean(_branches), "rep long, node long, before long")
-    return small, large if large.limit(1).count() else None
+def sized(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of made (with rep and node) of small nodes of at least two classes, and those of large ones, with the number n of classes."""
+    sizes = cut(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
+    made = cut(join_counted(made, sizes, "node"))
+    return made.where(F.col("n") <= NODE), made.where(F.col("n") > NODE)
 
 
 def chunks(large: DataFrame) -> DataFrame:
-    """(rep, node, own): large nodes in chunks of about NODE classes, the smallest class of each beside the others."""
+    """(rep, node, own): the first level's large nodes of CHUNKED trees in chunks of about NODE classes, the smallest class of each beside the others."""
+    large = large.where(F.col("node").bitwiseAND(TREE) < CHUNKED)
     first = cut(large.groupBy("node").agg(F.min("rep").alias("first"), F.first("n").alias("n")))
     number = lambda n: F.ceil(n / NODE).cast("int")
     name = lambda node, chunk: F.xxhash64(node, chunk)
@@ -153,21 +146,27 @@ def chunks(large: DataFrame) -> DataFrame:
     return members.unionByName(ahead.select("rep", name(F.col("node"), F.col("chunk")).alias("at"), F.col("node").alias("own"))).withColumnRenamed("at", "node")
 
 
-def blocks(large: DataFrame, components: DataFrame) -> DataFrame:
-    """(rep, node, own, component): large nodes in pairs of blocks, but for those in which one component is alone.
+def with_components(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """Adds the component of each class, its own where it has no link."""
+    found = rows.join(components.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    return found.withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
 
-    The largest component of a node has blocks of its own, which meet the others' blocks only.
-    """
-    found = large.join(components.select(F.col("id").alias("rep"), F.col("component_id")), "rep", "left").withColumn("component", F.coalesce("component_id", "rep")).drop("component_id")
-    found = cut(found)
-    sizes = found.groupBy("node", "component").agg(F.count("*").alias("c"))
+
+def mixed(large: DataFrame) -> DataFrame:
+    """(rep, node, component, n, main, c): rows (rep, node, component) of nodes of several components; the largest one is `main` with c classes."""
+    sizes = large.groupBy("node", "component").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("node").agg(F.max(F.struct("c", "component")).alias("main"), F.sum("c").alias("n"))
     sizes = cut(sizes.select("node", "n", F.col("main.component").alias("main"), F.col("main.c").alias("c")).where("n > c"))
-    rows = join_counted(found.drop("n"), sizes, "node")
+    return cut(join_counted(large.select("rep", "node", "component"), sizes, "node"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """(rep, node, own, component): nodes of `mixed` in pairs of blocks; those of the largest component meet the others' only."""
     half = F.lit(NODE / 2)
     rows = rows.withColumn("others", F.ceil((F.col("n") - F.col("c")) / half).cast("int")).withColumn("mains", F.ceil(F.col("c") / half).cast("int"))
-    mine = F.when(F.col("component") == F.col("main"), F.col("others") + F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.pmod(F.xxhash64("rep"), "others")).cast("int")
-    last = F.when(F.col("component") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    inside = F.col("component") == F.col("main")
+    mine = F.when(inside, F.col("others") + F.pmod(F.xxhash64("rep"), "mains")).otherwise(F.pmod(F.xxhash64("rep"), "others")).cast("int")
+    last = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("mains"))
     rows = rows.withColumn("b", mine).withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
     return rows.select("rep", F.xxhash64("node", F.least("b", "other"), F.greatest("b", "other")).alias("at"), F.col("node").alias("own"), "component").withColumnRenamed("at", "node")
 
@@ -209,7 +208,7 @@ def _pairs(node: np.ndarray):
 
 def _likely(table: pa.Table):
     """(i, j, likeness) of the rows that a table of nodes has to confirm: alike enough, not joined yet, and not together in a leaf that comes before."""
-    sig = _signatures(table.column("sig").combine_chunks())
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SIGNATURE)
     size = table.column("n_shingles").to_numpy()
     own = table.column("own").to_numpy()
     component = table.column("component").to_numpy()
@@ -266,7 +265,6 @@ def _confirm(batches):
             return x
 
         found = [np.concatenate(x) for x in zip(*_likely(table), strict=True)]
-        links = []
         for p in np.argsort(-found[2], kind="stable").tolist() if found else []:
             i, j = int(found[0][p]), int(found[1][p])
             a, b = find(i), find(j)
@@ -277,8 +275,9 @@ def _confirm(batches):
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             if 100 * shared >= PERCENT * (len(both) - shared):
-                root[max(a, b)] = min(a, b)
-                links.append((reps[i], reps[j]))
+                low, high = (a, b) if reps[a] < reps[b] else (b, a)
+                root[high] = low
+        links = [(reps[i], reps[r]) for i in range(len(reps)) if (r := find(i)) != i]  # each to the smallest it is joined to
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
@@ -286,25 +285,49 @@ def _confirm(batches):
 def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): confirmed links between classes that span the components; classes has rep, n_shingles, sig."""
     source = docs.select(integral(docs, key).alias("_id"), F.col(text).cast("string").alias("_text"))
-    small, large = leaves(classes)
+    small, large = sized(classes.select("rep", "sig").mapInArrow(lean(_roots), "rep long, node long"))
+    small = small.select("rep", "node")
     alone = F.col("rep").alias("component")  # no two joined yet
     rows = small.select("rep", "node", F.col("node").alias("own"), alone)
-    if large is not None:
+    some = large.limit(1).count()
+    if some:
         # a leaf compares all its pairs, a chunk doesn't: pairs of a chunk are left to leaves, whatever the leaf's name
         rows = rows.unionByName(chunks(large).select("rep", "node", F.lit(np.iinfo(np.int64).max).alias("own"), alone))
     found = cut(_links(source, classes, rows, small))
-    if large is not None:
-        rows = blocks(large, connected_components(found))
-        more = _links(source, classes, rows, small.unionByName(large.select("rep", "node")))
-        found = found.unionByName(more)
-    return found
-
-
-def _links(source: DataFrame, classes: DataFrame, rows: DataFrame, compared: DataFrame) -> DataFrame:
-    """(a, b) of rows (rep, node, own, component): pairs within a node; compared has the leaves (rep, node) that are compared whole."""
-    lists = compared.groupBy("rep").agg(F.collect_set("node").alias("leaves"))
-    rows = rows.join(lists, "rep", "left").withColumn("leaves", F.coalesce("leaves", F.array().cast("array<bigint>")))
-    rows = rows.join(classes.select("rep", "n_shingles", "sig"), "rep")
+    if not some:
+        return found
+    components = settle(cut(connected_components(found)))
+    large, rows = cut(with_components(large.select("rep", "node"), components)), None
+    for depth in range(1, DEPTH + 1):
+        nodes = mixed(large)
+        ends = (F.col("n") - F.col("c") <= NODE // 2) | F.lit(depth == DEPTH)
+        more = blocks(nodes.where(ends))
+        rows = more if rows is None else rows.unionByName(more)
+        rest = nodes.where(~ends).select("rep", "node", "component")
+        if not rest.limit(1).count():
+            break
+        made = rest.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "node", "component")
+        small, large = sized(cut(made.mapInArrow(lean(_branches), "rep long, node long, component long")))
+        rows = rows.unionByName(small.select("rep", "node", F.col("node").alias("own"), "component"))
+        settle(found)
+    more = settle(cut(_links(source, classes, rows)))
+    # what the first round joined goes on as stars, which are soon contracted
+    return components.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)
+
+
+def _links(source: DataFrame, classes: DataFrame, rows: DataFrame, compared: DataFrame | None = None) -> DataFrame:
+    """(a, b) of rows (rep, node, own, component): pairs within a node.
+
+    compared has the leaves (rep, node) that compare all their pairs: each pair is left to one of them. Without it a
+    pair may be compared in several nodes, which costs little once what is alike has been joined.
+    """
+    none = F.array().cast("array<bigint>")
+    if compared is None:
+        rows = rows.withColumn("leaves", none)
+    else:
+        lists = compared.groupBy("rep").agg(F.collect_set("node").alias("leaves"))
+        rows = rows.join(lists, "rep", "left").withColumn("leaves", F.coalesce("leaves", none))
+    rows = rows.join(classes.select("rep", "n_shingles", F.col("short").alias("sig")), "rep")
     rows = rows.select("rep", "node", "own", "component", "n_shingles", "sig", "leaves").repartition("node").sortWithinPartitions("node")
     chosen = cut(rows.mapInArrow(lean(_select), NODES))
     wanted = cut(chosen.select(F.col("rep").alias("_id")).distinct())
@@ -336,7 +359,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     none. Copies of a third of the corpus are one class, found by a partial aggregation; all other work sees a class once.
     """
     drawn = cut(sketch(docs, key, text))
-    classes = cut(drawn.where("print IS NOT NULL AND _id IS NOT NULL").groupBy("print").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    classes = cut(drawn.where("print IS NOT NULL AND _id IS NOT NULL").groupBy("print").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("short").alias("short")))
     components = connected_components(links(docs, classes, key, text).unionByName(_own_texts(drawn, classes)))
     named = classes.select("print", "rep").join(components, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     # rows without a set get prints of their own: null keys would meet in one task
