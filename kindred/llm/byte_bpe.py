@@ -22,7 +22,7 @@ from .common import CACHED, lean, slices
 #: Byte b is the character U+0100 + b: letters that no normaliser touches.
 SHIFT = 0x100
 #: Pre-tokens whose ids a worker keeps before it starts anew; long ones are not kept.
-CACHE = 300_000
+CACHE = 200_000
 TYPES = {"ids": "array<bigint>", "decoded": "binary", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
 
 

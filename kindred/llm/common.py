@@ -75,14 +75,15 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def lean(run):
-    """A function for mapInArrow that gives freed memory back when it ends; workers are reused and would keep it."""
+    """A function for mapInArrow that gives freed memory back at once, and when it ends; workers are reused and would keep it."""
 
     @functools.wraps(run)
     def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            gc.collect()
             if hasattr(ctypes.CDLL(None), "malloc_trim"):
                 ctypes.CDLL(None).malloc_trim(0)
 
@@ -92,7 +93,7 @@ def lean(run):
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash; emptied when it holds `most` words, and long words are not kept, so its memory is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 
