@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sql import register
+from ..functions.sql import BUCKET, register
 from ..operators import analysis as A
 from ..operators import decide as D
 from ..operators import metrics as M
@@ -167,7 +167,8 @@ def sql_grouped(spark, d):
     """A4 by the grouped-aggregate UDF, in SQL; the library's own plans use exp(sum(log1p))."""
     register(spark)
     pairs(spark, d).createOrReplaceTempView("kindred_pairs")
-    return spark.sql("SELECT s1, round(none_right(prob), 6) AS none_right FROM kindred_pairs GROUP BY s1")
+    buckets = 1 + table(spark, d, "lineitem").count() // BUCKET
+    return spark.sql(f"SELECT r.key AS s1, round(r.none_right, 6) AS none_right FROM (SELECT explode(none_right_by(s1, prob)) AS r FROM kindred_pairs GROUP BY pmod(hash(s1), {buckets}))")
 
 
 @query("sql_words", "SELECT p_partkey, generate_subscripts(w, 1)::INT - 1 AS place, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
