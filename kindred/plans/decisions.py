@@ -13,6 +13,7 @@ from ..functions.sql import BUCKET, register
 from ..operators import analysis as A
 from ..operators import decide as D
 from ..operators import metrics as M
+from ..operators.features import compared
 from ..operators.model import fit_quality
 from ..sources import records as R
 from ..sources.session import cut, table
@@ -164,7 +165,7 @@ def prune_choice(spark, d):
 
 @query("sql_grouped", f"WITH {P} SELECT s1, round(exp(sum(ln(1 - prob))), 6) AS none_right FROM p GROUP BY s1")
 def sql_grouped(spark, d):
-    """A4 by the grouped-aggregate UDF, in SQL; the library's own plans use exp(sum(log1p))."""
+    """A4 by the grouped-aggregate UDF, in SQL, a bucket of many entities at a time; the library's own plans use exp(sum(log1p))."""
     register(spark)
     pairs(spark, d).createOrReplaceTempView("kindred_pairs")
     buckets = 1 + table(spark, d, "lineitem").count() // BUCKET
@@ -183,8 +184,8 @@ def sql_words(spark, d):
 def sql_metrics(spark, d):
     """A string metric by its SQL name."""
     register(spark)
-    table(spark, d, "part").createOrReplaceTempView("kindred_parts")
-    return spark.sql("SELECT a.p_partkey AS a, b.p_partkey AS b, round(jaro_winkler(a.p_name, b.p_name), 4) AS jw FROM kindred_parts a JOIN kindred_parts b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
+    jw = lambda x, y: F.round(F.call_udf("jaro_winkler", x, y), 4)
+    return compared(table(spark, d, "part"), ["p_brand", "p_size"], "p_partkey", "p_name", jw).withColumnRenamed("value", "jw")
 
 
 @query("prune_sizes", f"WITH {P}, n AS (SELECT country, tau, count(DISTINCT s1) AS entities, count(*) FILTER (WHERE p1 >= tau) AS pairs FROM p, (SELECT unnest([{TAUS}]::DOUBLE[]) AS tau) GROUP BY country, tau) SELECT *, round(pairs / entities, 6) AS pairs_per_entity FROM n")
