@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..sources.session import cut
 
-#: Ids up to this many (8 bytes each, some 40 in a hash relation) may be broadcast; above it a shuffle join is used.
+#: Ids up to this many (8 bytes each, in lists of about LISTED) may be broadcast; above it a shuffle join is used.
 BROADCAST_IDS = 500_000
+LISTED = 64
 #: Rows of text that a Python operator holds as str at one time.
 SLICE = 256
 #: Longer words (in bytes) are worked on anew each time, so that a cache of n words holds at most about n * (CACHED + 100) bytes.
@@ -68,10 +69,18 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n", ho
     return warm.unionByName(rest.join(counted.where(F.col(n) * HOT <= total).hint("merge"), key, how))
 
 
-def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is in ids (one column, distinct, materialised). The ids are broadcast only if counted small."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")
+def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key, an integer, is in ids (one column, distinct, materialised); with left_anti the others, and null keys.
+
+    The ids are broadcast only if counted small, and then as lists: a row per id takes the driver several times as much memory.
+    """
+    n = ids.limit(BROADCAST_IDS + 1).count()
+    if n > BROADCAST_IDS:
+        return df.join(ids.hint("merge"), key, how)
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(n // LISTED + 1).cast("long"))
+    own = F.col(key).cast("long")
+    lists = ids.groupBy(place(own).alias("_place")).agg(F.collect_list(own).alias("_ids"))
+    return df.join(F.broadcast(lists), (place(own) == F.col("_place")) & F.array_contains("_ids", own), how)
 
 
 def lean(run):
@@ -142,16 +151,62 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+#: Links that one task contracts at a time: some 100 MB of arrays.
+CONTRACTED = 500_000
+
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as stars: (id, smallest id reachable over these links), without the smallest ids themselves."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(ids))
+    while True:
+        m = np.minimum(low[a], low[b])
+        new = low.copy()
+        for x in (a, b):
+            np.minimum.at(new, low[x], m)
+            np.minimum.at(new, x, m)
+        while not np.array_equal(up := new[new], new):
+            new = up
+        if np.array_equal(new, low):
+            break
+        low = new
+    some = np.flatnonzero(low != np.arange(len(ids)))
+    return ids[some], ids[low[some]]
+
+
+def _contract(batches):
+    """Links (u, v) -> stars, CONTRACTED links at a time."""
+    held, n = [], 0
+
+    def stars():
+        u, v = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in "uv")
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in contracted(u, v)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= CONTRACTED:
+            yield stars()
+            held, n = [], 0
+    if n:
+        yield stars()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) undirected links -> (id, component_id), component_id the smallest id reachable, for every id with a link.
 
-    Alternates large-star and small-star contractions until nothing changes; each round is two
+    Tasks first contract the links that they hold to stars, CONTRACTED links at a time. So many in all are done with that;
+    more go on by alternate large-star and small-star contractions until nothing changes. Each round is two
     shuffles of the remaining links and is cut, so neither lineage nor driver memory grows.
     """
     sign = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = sign(e)
-    while before["n"]:
+    n = e.count()
+    if n:
+        e = cut(e.coalesce(-(-n // CONTRACTED)).mapInArrow(lean(_contract), "u long, v long"))
+    before = sign(e) if n > CONTRACTED else None
+    while n > CONTRACTED:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from kindred.llm import common
 from kindred.llm import decontamination as C
 from kindred.llm import embedding_links as E
 from kindred.llm import near_duplicates as N
@@ -250,3 +251,30 @@ def test_a_million_dashes_in_bounded_memory():
     assert tracemalloc.get_traced_memory()[1] < 500 << 20
     tracemalloc.stop()
     assert (0, 0, 0, 120, 0) in got and [r[:2] for r in got] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("most", [500_000, 20])
+def test_links_are_contracted_in_tasks(spark, monkeypatch, most):
+    """So many links as one task takes need no rounds of shuffles; more are contracted before the rounds."""
+    monkeypatch.setattr(common, "CONTRACTED", most)
+    cuts = []
+    monkeypatch.setattr(common, "cut", lambda df, f=common.cut: cuts.append(1) or f(df))
+    rng = random.Random(4)
+    links = [(i + 1, i) for i in range(300)] + [(5000, 6000 + i) for i in range(80)] + [(-5, 2**62), (7000, 7000)] + [(rng.randint(8000, 8200), rng.randint(8000, 8200)) for _ in range(150)]
+    rng.shuffle(links)
+    real = [(a, b) for a, b in links if a != b]
+    want = components({x for p in real for x in p}, real)
+    got = {r["id"]: r["component_id"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want
+    assert len(cuts) == 2 or most == 20
+
+
+@pytest.mark.parametrize("most", [500_000, 1])
+def test_only_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    ids = spark.createDataFrame([(i,) for i in range(0, 400, 2)], "k long")
+    for kind in ("int", "long"):
+        rows = spark.createDataFrame([(i,) for i in [*range(500), None]], f"k {kind}")
+        assert sorted(r[0] for r in common.only_ids(rows, ids, "k").collect()) == list(range(0, 400, 2))
+        kept = [r[0] for r in common.only_ids(rows, ids, "k", "left_anti").collect()]
+        assert None in kept and sorted(x for x in kept if x is not None) == [i for i in range(500) if i % 2 or i >= 400]
