@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WordHashes, connected_components, cut, integral, join_counted, lean, mix, ngram_hashes, only_ids, settle, slices, word_hashes
+from .common import WordHashes, connected_components, cut, integral, join_counted, lean, mix, ngram_hashes, only_ids, settle, slices, word_hashes
 
 WORDS, TREES, DEPTH = 5, 14, 10
 #: Classes in a node, or outside its largest component, that are compared exhaustively; above it the node branches further.
@@ -375,8 +375,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Rows of a null key stay, rows that repeat a key that stays do too. Dropped keys are broadcast only if counted small.
     """
     dropped = cut(near_duplicates(docs, key, text).where("NOT kept").select(key).distinct())
-    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped.hint("merge"), key, "left_anti")
+    return only_ids(docs, dropped, key, "left_anti")
 
 
 def components_sql(alias: str = "documents") -> str:
