@@ -83,11 +83,32 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(F.broadcast(lists), (place(own) == F.col("_place")) & F.array_contains("_ids", own), how)
 
 
+#: Rows (of at most some hundred bytes) that a partition should have at least.
+FEWEST = 20_000
+
+
+def gathered(made: DataFrame) -> DataFrame:
+    """made, a materialised table of small rows, in no more partitions than cores or than FEWEST rows each need.
+
+    What comes out of a shuffle has as many partitions as the largest shuffle needs, and each costs every later stage a task.
+    """
+    needed = -(-made.count() // FEWEST)
+    return made.coalesce(max(needed, made.sparkSession.sparkContext.defaultParallelism))
+
+
+@functools.cache
+def _freeze() -> None:
+    """Once a process: what the imports made is not searched for garbage at the end of every task, which takes 80 ms."""
+    gc.collect()
+    gc.freeze()
+
+
 def lean(run):
     """A function for mapInArrow that gives freed memory back at once, and when it ends; workers are reused and would keep it."""
 
     @functools.wraps(run)
     def wrapped(batches):
+        _freeze()
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)

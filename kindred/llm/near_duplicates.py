@@ -12,6 +12,7 @@ don't. So nodes that are large at the first level are first compared in chunks,
 its own members. This is linear work and joins what is alike. From then on only pairs of different components count:
 where all but a few classes of a node are one component, these few are compared with all, in blocks, which is linear too;
 any other node branches further. A node that is still large at the greatest depth is compared in blocks, missing nothing.
+Nodes of up to WITHIN classes do all of this in one task each; only larger ones branch by rounds of shuffles.
 
 Signatures only select who is compared; every link is confirmed on full sets.
 """
@@ -25,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, cut, integral, join_counted, lean, mix, ngram_hashes, only_ids, settle, slices, word_hashes
+from .common import WordHashes, connected_components, cut, gathered, integral, join_counted, lean, mix, ngram_hashes, only_ids, settle, slices, word_hashes
 
 WORDS, TREES, DEPTH = 5, 14, 10
 #: Classes in a node, or outside its largest component, that are compared exhaustively; above it the node branches further.
 NODE = 800
+#: Classes in a large node that one task branches down to its leaves (some 300 bytes each); larger ones take a round of shuffles for each level.
+WITHIN = 50_000
+#: Rows that it sends on at a time.
+SENT = 200_000
 #: Trees whose large nodes are compared in chunks: a group of alike sets is large in nearly all trees, and few join it.
 CHUNKED = 5
 #: Share of nodes that select two tokens and not one: 4 / 3 tokens a node.
@@ -129,15 +134,15 @@ def _branches(batches):
 
 def sized(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of made (with rep and node) of small nodes of at least two classes, and those of large ones, with the number n of classes."""
-    sizes = cut(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
-    made = cut(join_counted(made, sizes, "node"))
+    sizes = gathered(cut(made.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")))
+    made = gathered(cut(join_counted(made, sizes, "node")))
     return made.where(F.col("n") <= NODE), made.where(F.col("n") > NODE)
 
 
 def chunks(large: DataFrame) -> DataFrame:
     """(rep, node, own): the first level's large nodes of CHUNKED trees in chunks of about NODE classes, the smallest class of each beside the others."""
     large = large.where(F.col("node").bitwiseAND(TREE) < CHUNKED)
-    first = cut(large.groupBy("node").agg(F.min("rep").alias("first"), F.first("n").alias("n")))
+    first = gathered(cut(large.groupBy("node").agg(F.min("rep").alias("first"), F.first("n").alias("n"))))
     number = lambda n: F.ceil(n / NODE).cast("int")
     name = lambda node, chunk: F.xxhash64(node, chunk)
     members = join_counted(large.drop("n"), first, "node").where("rep <> first")
@@ -171,6 +176,90 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.select("rep", F.xxhash64("node", F.least("b", "other"), F.greatest("b", "other")).alias("at"), F.col("node").alias("own"), "component").withColumnRenamed("at", "node")
 
 
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where the runs of equal rows begin."""
+    other = np.zeros(len(sorted_columns[0]), dtype=bool)
+    other[:1] = True
+    for c in sorted_columns:
+        other[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(other)
+
+
+def _shares(node: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, c, main) of each row: its node's classes, those of the node's largest component, and that component; `mixed` in a task."""
+    order = np.lexsort((component, node))
+    node, component = node[order], component[order]
+    runs = _starts(node, component)  # a node's component each
+    count = np.diff(np.r_[runs, len(node)])
+    nodes = _starts(node[runs])
+    of = np.repeat(np.arange(len(nodes)), np.diff(np.r_[nodes, len(runs)]))
+    n, c = np.add.reduceat(count, nodes), np.maximum.reduceat(count, nodes)
+    largest = np.flatnonzero(count == c[of])
+    main = component[runs[largest[_starts(of[largest])]]]
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.repeat(of, count)
+    return n[at], c[at], main[at]
+
+
+def _blocks(rep: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, c: np.ndarray, main: np.ndarray, half: int):
+    """`blocks` in a task: lists of (rep, node, own, component), about SENT rows at a time."""
+    others, mains, inside = -(-(n - c) // half), -(-c // half), component == main
+    h = mix(rep.view(np.uint64))
+    mine = np.where(inside, others + (h % mains.astype(np.uint64)).astype(np.int64), (h % others.astype(np.uint64)).astype(np.int64))
+    last = np.where(inside, others, others + mains)
+    upto, at = np.cumsum(last), 0
+    while at < len(rep):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SENT, side="right")))
+        k = last[at:to]
+        row = np.repeat(np.arange(at, to), k)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+        low, high = np.minimum(mine[row], other), np.maximum(mine[row], other)
+        with np.errstate(over="ignore"):
+            name = mix(mix(node[row].view(np.uint64)) + ((low << 32) + high).astype(np.uint64))
+        yield rep[row], name.view(np.int64), node[row], component[row]
+        at = to
+
+
+def descended(sig: np.ndarray, rep: np.ndarray, node: np.ndarray, component: np.ndarray, depth: np.ndarray, deepest: int, most: int):
+    """Lists of (rep, node, own, component): whole nodes, each at its depth, branched to the leaves and blocks that compare them.
+
+    The same as the rounds of `links` do: nodes of one component go, those of few classes beside it end in blocks, as all do at
+    the greatest depth, and the others branch.
+    """
+    row = np.arange(len(rep))  # of sig and rep
+    while len(row):
+        n, c, main = _shares(node, component)
+        ends = ((n - c <= most // 2) | (depth >= deepest)) & (n > c)
+        if ends.any():
+            yield from _blocks(rep[row[ends]], node[ends], component[ends], n[ends], c[ends], main[ends], most // 2)
+        rest = (n > c) & ~ends
+        row, node, component, depth = row[rest], node[rest], component[rest], depth[rest]
+        if not len(row):
+            return
+        at, child = children(sig[row], node.view(np.uint64))
+        row, node, component, depth = row[at], child.view(np.int64), component[at], depth[at] + 1
+        n, c, _ = _shares(node, component)
+        small = (n > c) & (n <= most)
+        if small.any():
+            yield rep[row[small]], node[small], node[small], component[small]
+        row, node, component, depth = (x[n > most] for x in (row, node, component, depth))
+
+
+def descent(deepest: int, most: int):
+    """A function for mapInArrow: sorted rows (rep, sig, node, component, depth) -> (rep, node, own, component); see `descended`."""
+
+    def run(batches):
+        for table in grouped(batches):
+            table = table.combine_chunks()
+            of = [table.column(x).to_numpy() for x in ("rep", "node", "component", "depth")]
+            sig = _signatures(table.column("sig"))
+            for made in descended(sig, *of, deepest, most):
+                for at in range(0, len(made[0]), SENT):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + SENT], pa.int64()) for x in made], names=["rep", "node", "own", "component"])
+
+    return run
+
+
 def grouped(batches, column: str = "node"):
     """Sorted Arrow batches -> tables that each hold whole groups, by streaming: at most one group is carried over."""
     held: list[pa.RecordBatch] = []
@@ -297,8 +386,12 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     if not some:
         return found
     components = settle(cut(connected_components(found)))
-    large, rows = cut(with_components(large.select("rep", "node"), components)), None
+    large, rows, within = gathered(cut(with_components(large.select("rep", "node", "n"), components))), None, None
     for depth in range(1, DEPTH + 1):
+        some = large.where(F.col("n") <= WITHIN).select("rep", "node", "component", F.lit(depth).cast("long").alias("depth"))
+        within, large = some if within is None else within.unionByName(some), large.where(F.col("n") > WITHIN)
+        if not large.limit(1).count():
+            break
         nodes = mixed(large)
         ends = (F.col("n") - F.col("c") <= NODE // 2) | F.lit(depth == DEPTH)
         more = blocks(nodes.where(ends))
@@ -310,6 +403,9 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
         small, large = sized(cut(made.mapInArrow(lean(_branches), "rep long, node long, component long")))
         rows = rows.unionByName(small.select("rep", "node", F.col("node").alias("own"), "component"))
         settle(found)
+    within = within.join(classes.select("rep", "sig"), "rep").select("rep", "sig", "node", "component", "depth").repartition("node").sortWithinPartitions("node")
+    made = within.mapInArrow(lean(descent(DEPTH, NODE)), "rep long, node long, own long, component long")
+    rows = made if rows is None else rows.unionByName(made)
     more = settle(cut(_links(source, classes, rows)))
     # what the first round joined goes on as stars, which are soon contracted
     return components.select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(more)
@@ -329,8 +425,8 @@ def _links(source: DataFrame, classes: DataFrame, rows: DataFrame, compared: Dat
         rows = rows.join(lists, "rep", "left").withColumn("leaves", F.coalesce("leaves", none))
     rows = rows.join(classes.select("rep", "n_shingles", F.col("short").alias("sig")), "rep")
     rows = rows.select("rep", "node", "own", "component", "n_shingles", "sig", "leaves").repartition("node").sortWithinPartitions("node")
-    chosen = cut(rows.mapInArrow(lean(_select), NODES))
-    wanted = cut(chosen.select(F.col("rep").alias("_id")).distinct())
+    chosen = gathered(cut(rows.mapInArrow(lean(_select), NODES)))
+    wanted = gathered(cut(chosen.select(F.col("rep").alias("_id")).distinct()))
 
     def sets(batches):
         for ids, words in _words(batches):
@@ -359,7 +455,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     none. Copies of a third of the corpus are one class, found by a partial aggregation; all other work sees a class once.
     """
     drawn = cut(sketch(docs, key, text))
-    classes = cut(drawn.where("print IS NOT NULL AND _id IS NOT NULL").groupBy("print").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("short").alias("short")))
+    classes = drawn.where("print IS NOT NULL AND _id IS NOT NULL").groupBy("print").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("short").alias("short"))
+    classes = gathered(cut(classes))
     components = connected_components(links(docs, classes, key, text).unionByName(_own_texts(drawn, classes)))
     named = classes.select("print", "rep").join(components, F.col("rep") == F.col("id"), "left").select("print", F.coalesce("component_id", "rep").alias("component_id"))
     # rows without a set get prints of their own: null keys would meet in one task

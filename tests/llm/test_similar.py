@@ -278,3 +278,44 @@ def test_only_ids(spark, monkeypatch, most):
         assert sorted(r[0] for r in common.only_ids(rows, ids, "k").collect()) == list(range(0, 400, 2))
         kept = [r[0] for r in common.only_ids(rows, ids, "k", "left_anti").collect()]
         assert None in kept and sorted(x for x in kept if x is not None) == [i for i in range(500) if i % 2 or i >= 400]
+
+
+@pytest.mark.parametrize("within", [30, 50_000])
+def test_large_nodes_branch_by_tasks_or_rounds(docs, monkeypatch, within):
+    """Nodes of a passage that all share, of alike documents and of others, by either way or both; tasks take the same few jobs at any depth."""
+    monkeypatch.setattr(N, "NODE", 6)
+    monkeypatch.setattr(N, "WITHIN", within)
+    monkeypatch.setattr(N, "DEPTH", 4)
+    rng = random.Random(14)
+    passage = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = passage + [f"w{rng.randrange(10**6)}" for _ in range(60 if i % 2 else 3)]
+        rows.append((2 * i, " ".join(words)))
+        words[130 if i % 2 else 50] = "v"
+        rows.append((2 * i + 1, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want, given = components(sets, links), docs(rows)
+    context = given.sparkSession.sparkContext
+    context.setJobGroup(f"within {within}", "near-duplicates")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(given).collect()}
+    finally:
+        context._jsc.clearJobGroup()
+    assert got == want and len(set(want.values())) > 20
+    assert within < 50_000 or len(context.statusTracker().getJobIdsForGroup(f"within {within}")) < 130
+
+
+def test_descended_nodes_miss_no_pair_at_the_greatest_depth():
+    """Each pair of different components of a node that does not branch meets in a block; a node of one component goes."""
+    rep = np.arange(50)
+    node, component = np.repeat([7, 9], [30, 20]), np.r_[np.repeat([0, 1, 2], [18, 8, 4]), np.full(20, 30)]
+    sig = np.random.default_rng(1).integers(0, 2**32, (50, N.SIGNATURE), dtype=np.uint32)
+    met = {}
+    for found in N.descended(sig, rep, node, component, np.full(50, 10), 10, 8):
+        for r, at, own, c in zip(*(x.tolist() for x in found), strict=True):
+            assert own == 7 and c == component[r]
+            met.setdefault(at, []).append(r)
+    pairs = {(a, b) for rows in met.values() for a in rows for b in rows if a < b and component[a] != component[b]}
+    assert pairs == {(a, b) for a in range(30) for b in range(30) if a < b and component[a] != component[b]}
